@@ -1,6 +1,6 @@
 """Named queries over the derived tables and their SQL counterparts."""
 
-from lineweave.plans import points, raster  # noqa: F401
+from lineweave.plans import columns, points, raster, voting  # noqa: F401
 from lineweave.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

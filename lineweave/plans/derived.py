@@ -57,6 +57,50 @@ FROM orders WHERE o_orderkey % 3 <> 0""",
         "orders",
         """SELECT DISTINCT CAST(floor(o_orderkey / 100) AS INT) AS scene_id,
        CAST(40 + (floor(o_orderkey / 100) * 7) % 100 / 10.0 AS DOUBLE) AS center_lat
+FROM orders""",
+    ),
+    "fx_raw": (
+        "orders",
+        f"""SELECT o_orderkey AS id, CAST(floor(o_orderkey / 100) AS INT) AS scene_id,
+       CASE o_orderkey % 5 WHEN 0 THEN ' t ' WHEN 1 THEN 'Y' WHEN 2 THEN 'x' WHEN 3 THEN 'n ' ELSE '' END AS label,
+       CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'bad' WHEN 2 THEN 'nan' WHEN 3 THEN 'inf' WHEN 4 THEN ' 12.5 '
+            WHEN 5 THEN '-3' ELSE CAST(o_custkey AS STRING) END AS num_text,
+       CASE o_orderkey % 11 WHEN 0 THEN 'true' WHEN 1 THEN 'Yes' WHEN 2 THEN '0' WHEN 3 THEN 'f' WHEN 4 THEN ''
+            WHEN 5 THEN '2.5' WHEN 6 THEN '-1' WHEN 7 THEN 'oops' WHEN 8 THEN ' T ' WHEN 9 THEN 'no' ELSE '1' END AS flag_text,
+       CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split,
+       CASE o_custkey % 4 WHEN 0 THEN 'virtual_bridge' WHEN 1 THEN ' base_topology ' ELSE '' END AS src_text,
+       CASE o_orderkey % 4 WHEN 0 THEN 'virtual_gap_endpoint_segment' WHEN 1 THEN 'base_junction' ELSE '' END AS type_text,
+       CASE o_orderkey % 6 WHEN 0 THEN 'tile_y00128_x0_gap' WHEN 1 THEN 'ESP_011__y1' WHEN 2 THEN 'hirise_ESP_9__y00'
+            WHEN 3 THEN 'tile_7_skel' WHEN 4 THEN 'Scene_MASK' ELSE 'other__b' END AS stem,
+       CAST((o_custkey * 37 + o_orderkey * 11) % 800 - 16 AS INT) AS x,
+       CAST((o_orderkey * 53 + o_custkey * 5) % 800 - 16 AS INT) AS y,
+       CAST((o_custkey * 29 + o_orderkey) % 3600 / 10.0 AS DOUBLE) AS ang_a,
+       CAST((o_custkey * 7 + o_orderkey * 3) % 3600 / 10.0 AS DOUBLE) AS ang_b,
+       CAST((o_custkey * 13 + o_orderkey * 17) % 3600 / 10.0 AS DOUBLE) AS ang_c,
+       CAST(o_orderkey % 5 AS INT) AS n_arms, CAST(1 + o_custkey % 37 AS DOUBLE) AS len_a,
+       CAST(1 + o_orderkey % 41 AS DOUBLE) AS len_b
+FROM orders""",
+    ),
+    "fx_rows": (
+        "orders",
+        f"""SELECT o_orderkey AS id, CAST(floor(o_orderkey / 100) AS INT) AS scene_id,
+       CAST((o_custkey * 37 + o_orderkey * 11) % 768 AS INT) AS x,
+       CAST((o_orderkey * 53 + o_custkey * 5) % 768 AS INT) AS y,
+       {_cls("o_orderkey")} AS cnn_pred, {_cls("(o_orderkey + o_custkey)")} AS mlp_pred,
+       {_cls("(o_custkey)")} AS svm_pred, {_cls("(o_orderkey * 3 + 1)")} AS xgb_pred,
+       CASE o_custkey % 5 WHEN 0 THEN 'T' WHEN 1 THEN 'Y_balanced' WHEN 2 THEN 'Y_arrowhead' WHEN 3 THEN 'T'
+            ELSE 'Unknown' END AS geometry_label,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'virtual_bridge' ELSE 'base_topology' END AS proposal_source,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'virtual_gap_endpoint_endpoint'
+            WHEN o_orderkey % 3 = 0 THEN 'virtual_gap_endpoint_segment' ELSE 'base_junction' END AS proposal_type,
+       o_orderkey % 13 = 0 AS border_flag,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST((o_orderkey * 7) % 120 AS DOUBLE) END AS min_gap_deg,
+       CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(120 + (o_custkey * 13) % 120 AS DOUBLE) END AS max_gap_deg,
+       CAST(2 + (o_orderkey + o_custkey) % 3 AS INT) AS branch_count,
+       CAST((o_custkey * 11 + o_orderkey * 5) % 97 / 16.0 AS DOUBLE) AS proposal_score,
+       CAST(o_orderkey % 5 AS INT) AS agreement,
+       {", ".join(f"CAST((o_orderkey * {3 + 2 * h} + o_custkey * {5 + 4 * c}) % 64 / 64.0 AS DOUBLE) AS {m}_prob_{k}"
+                  for h, m in enumerate(("cnn", "mlp", "svm", "xgb")) for c, k in enumerate("NTXY"))}
 FROM orders""",
     ),
 }
