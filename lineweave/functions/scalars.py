@@ -55,7 +55,7 @@ def positive_weight(c) -> Column:
 
 def safe_ratio(num, den, default: float = 0.0) -> Column:
     num, den = _col(num), _col(den)
-    return F.when(den.isNotNull() & (F.abs(den) > 1e-9) & num.isNotNull(), num / den).otherwise(F.lit(default))
+    return F.when(den.isNotNull() & (F.abs(den) > 1e-9) & num.isNotNull(), F.try_divide(num, den)).otherwise(F.lit(default))
 
 
 # ---------------------------------------------------------------- names
