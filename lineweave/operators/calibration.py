@@ -88,7 +88,7 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rho as one row; ties share their mean rank."""
     rx = average_rank(df, x).withColumnRenamed("rank", "_rx")
     ry = average_rank(df, y).withColumnRenamed("rank", "_ry")
-    return df.select(x, y).join(rx, x).join(ry, y).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return df.select(x, y).join(rx, x).join(ry, y).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def min_sample_size(estimates: DataFrame, by: Sequence[str], tolerance: float = 0.10) -> DataFrame:

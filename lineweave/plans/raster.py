@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lineweave.operators import components as C
 from lineweave.operators import pixels as P
 from lineweave.plans.catalog import query
 from lineweave.plans.derived import TILE_SIDE, derived, with_fx
@@ -147,3 +148,93 @@ SELECT g.tile_id, g.y, g.x, g.v FROM fx_gray g JOIN s USING (tile_id)
 WHERE CASE WHEN s.dark THEN g.v < 100 ELSE g.v > 155 END""")
 def auto_polarity(spark, sf):
     return P.auto_polarity(derived(spark, sf, "fx_gray"), threshold=100)
+
+
+def comp_sql(src: str, out: str, diagonal: bool = True, pre: str = "") -> str:
+    """Least reachable row-major position of each pixel. ``pre`` keeps the helper names apart."""
+    near = ("b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1" if diagonal
+            else "abs(b.y - a.y) + abs(b.x - a.x) = 1")
+    return f"""{pre}k AS (SELECT *, CAST(y AS BIGINT) * 1048576 + x AS pos FROM {src}),
+{pre}e AS (SELECT a.tile_id, a.pos AS u, b.pos AS v FROM {pre}k a JOIN {pre}k b ON a.tile_id = b.tile_id AND a.pos <> b.pos AND {near}),
+{pre}r(tile_id, pos, root) AS (SELECT tile_id, pos, pos FROM {pre}k
+  UNION SELECT e.tile_id, e.v, r.root FROM {pre}r r JOIN {pre}e e ON e.tile_id = r.tile_id AND e.u = r.pos WHERE r.root < e.v),
+{out} AS (SELECT {pre}k.*, m.comp_id FROM {pre}k JOIN (SELECT tile_id, pos, min(root) AS comp_id FROM {pre}r GROUP BY 1, 2) m USING (tile_id, pos))"""
+
+
+RPX = with_fx("fx_pixels", recursive=True)
+
+
+@query("components", RPX + ", " + comp_sql("fx_pixels", "c") + " SELECT tile_id, y, x, comp_id FROM c")
+def components(spark, sf):
+    return C.components(derived(spark, sf, "fx_pixels"))
+
+
+@query("components_four", RPX + ", " + comp_sql("fx_pixels", "c", diagonal=False) + " SELECT tile_id, y, x, comp_id FROM c")
+def components_four(spark, sf):
+    return C.components(derived(spark, sf, "fx_pixels"), diagonal=False)
+
+
+STATS = """SELECT tile_id, comp_id, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, min(x) AS x0, max(x) AS x1,
+ min(y) AS y0, max(y) AS y1 FROM c GROUP BY 1, 2"""
+
+
+@query("component_stats", RPX + ", " + comp_sql("fx_pixels", "c") + " " + STATS)
+def component_stats(spark, sf):
+    out = C.component_stats(C.components(derived(spark, sf, "fx_pixels")))
+    return out.withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
+
+
+@query("hysteresis", with_fx("fx_prob", recursive=True) + ", lo AS (SELECT * FROM fx_prob WHERE p_milli > 400), " + comp_sql("lo", "c") + """
+SELECT tile_id, y, x FROM c WHERE (tile_id, comp_id) IN (SELECT (tile_id, comp_id) FROM c WHERE p_milli > 900)""")
+def hysteresis(spark, sf):
+    prob = derived(spark, sf, "fx_prob").withColumn("p", F.col("p_milli") / 1000.0)
+    return C.hysteresis(prob, 0.4, 0.9)
+
+
+@query("valid_region", with_fx("fx_gray", recursive=True) + ", lo AS (SELECT * FROM fx_gray WHERE v <= 150), " + comp_sql("lo", "c") + f""",
+bad AS (SELECT tile_id, y, x FROM c WHERE (tile_id, comp_id) IN (SELECT (tile_id, comp_id) FROM c WHERE y IN (0, 191) OR x IN (0, 191))),
+{_offsets(P.ellipse(3)).replace("k(dy", "kk(dy")} SELECT DISTINCT tile_id, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM bad CROSS JOIN kk
+WHERE y + dy BETWEEN 0 AND 191 AND x + dx BETWEEN 0 AND 191""")
+def valid_region(spark, sf):
+    gray = derived(spark, sf, "fx_gray")
+    return C.valid_region(gray, tiles(gray), 150, pad=1)
+
+
+@query("fill_holes", RPX + f""", {_offsets({-1: 1, 0: 1, 1: 1}).replace("k(dy", "kk(dy")},
+fat AS (SELECT DISTINCT tile_id, y + dy AS y, x + dx AS x FROM fx_pixels CROSS JOIN kk),
+bg AS (SELECT t.tile_id, CAST(gy.y AS INT) AS y, CAST(gx.x AS INT) AS x FROM (SELECT DISTINCT tile_id FROM fat) t, range(-2, 194) gy(y), range(-2, 194) gx(x)
+  WHERE NOT EXISTS (SELECT 1 FROM fat WHERE fat.tile_id = t.tile_id AND fat.y = gy.y AND fat.x = gx.x)),
+free AS (SELECT tile_id, y, x FROM bg WHERE y IN (-2, 193) OR x IN (-2, 193)
+  UNION SELECT b.tile_id, b.y, b.x FROM free f JOIN bg b ON b.tile_id = f.tile_id AND abs(b.y - f.y) + abs(b.x - f.x) = 1)
+SELECT tile_id, y, x FROM fat UNION ALL (SELECT tile_id, y, x FROM bg EXCEPT SELECT tile_id, y, x FROM free)""")
+def fill_holes(spark, sf):
+    """Holes of the pixels grown by one."""
+    return C.fill_holes(P.dilate(derived(spark, sf, "fx_pixels"), P.SQUARE3))
+
+
+@query("junction_nodes")
+def junction_nodes(spark, sf):
+    px = derived(spark, sf, "fx_pixels")
+    return C.junction_nodes(px, tiles(px))
+
+
+@query("base_proposals")
+def base_proposals(spark, sf):
+    px = derived(spark, sf, "fx_pixels")
+    return C.base_proposals(C.junction_nodes(px, tiles(px), k=3), tiles(px))
+
+
+@query("topology_gate", with_fx("fx_pixels", "fx_detections") + f""", {DEG}, {_offsets(P.ellipse(5))},
+m AS (SELECT DISTINCT tile_id, y + dy AS y, x + dx AS x FROM deg CROSS JOIN k WHERE deg >= 3)
+SELECT id, d.scene_id % 15 AS tile_id, d.x % 192 AS x, d.y % 192 AS y FROM fx_detections d
+WHERE EXISTS (SELECT 1 FROM m WHERE m.tile_id = d.scene_id % 15 AND m.y = d.y % 192 AND m.x = d.x % 192)""")
+def topology_gate(spark, sf):
+    d = derived(spark, sf, "fx_detections").select(
+        "id", (F.col("scene_id") % 15).alias("tile_id"), (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"))
+    return C.topology_gate(derived(spark, sf, "fx_pixels"), d, 2)
+
+
+@query("morph_skeleton")
+def morph_skeleton(spark, sf):
+    px = derived(spark, sf, "fx_pixels")
+    return C.morph_skeleton(P.dilate(px, P.CROSS3, tiles(px)), tiles(px))

@@ -172,9 +172,9 @@ f AS (SELECT *, ((b2 * c3 - b3 * c2) * q1 - (a2 * c3 - a3 * c2) * q2 + (a2 * b3
   (-(b1 * c3 - b3 * c1) * q1 + (a1 * c3 - a3 * c1) * q2 - (a1 * b3 - a3 * b1) * q3) / det AS p2,
   ((b1 * c2 - b2 * c1) * q1 - (a1 * c2 - a2 * c1) * q2 + (a1 * b2 - a2 * b1) * q3) / det AS p3,
   {_face(1, 2)} AS t12, {_face(1, 3)} AS t13, {_face(2, 3)} AS t23 FROM j),
-cand AS (SELECT scene_id, 1 AS k, t12 AS e1, 1 - t12 AS e2, 0.0 AS e3, * EXCLUDE (scene_id) FROM f UNION ALL
+faces AS (SELECT scene_id, 1 AS k, t12 AS e1, 1 - t12 AS e2, 0.0 AS e3, * EXCLUDE (scene_id) FROM f UNION ALL
   SELECT scene_id, 2, t13, 0.0, 1 - t13, * EXCLUDE (scene_id) FROM f UNION ALL SELECT scene_id, 3, 0.0, t23, 1 - t23, * EXCLUDE (scene_id) FROM f),
-res AS (SELECT *, (a1 * e1 + a2 * e2 + a3 * e3 - q1) ** 2 + (b1 * e1 + b2 * e2 + b3 * e3 - q2) ** 2 + (c1 * e1 + c2 * e2 + c3 * e3 - q3) ** 2 AS r FROM cand),
+res AS (SELECT *, (a1 * e1 + a2 * e2 + a3 * e3 - q1) ** 2 + (b1 * e1 + b2 * e2 + b3 * e3 - q2) ** 2 + (c1 * e1 + c2 * e2 + c3 * e3 - q3) ** 2 AS r FROM faces),
 best AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY r, k) = 1),
 o AS (SELECT scene_id, CASE WHEN least(p1, p2, p3) >= -1e-10 THEN greatest(p1, 0) ELSE e1 END AS f1, CASE WHEN least(p1, p2, p3) >= -1e-10 THEN greatest(p2, 0) ELSE e2 END AS f2,
   CASE WHEN least(p1, p2, p3) >= -1e-10 THEN greatest(p3, 0) ELSE e3 END AS f3 FROM best)
@@ -236,14 +236,14 @@ def bootstrap_ci(spark, sf):
     return _rounded(M.bootstrap_ci(d, ["id"], b=20, seed=7), "median", "lo", "hi")
 
 
-FRACTIONS = """fr AS (SELECT scene_id, count(*) FILTER (WHERE cnn_pred = 'T') AS "n_T", count(*) FILTER (WHERE cnn_pred = 'Y') AS "n_Y",
- count(*) FILTER (WHERE cnn_pred = 'X') AS "n_X", count(*) FILTER (WHERE cnn_pred = 'N') AS "n_N" FROM fx_detections WHERE (id * 7 + scene_id) % 5 > 0 GROUP BY 1),
+FRACTIONS = """fr AS (SELECT scene_id, count(*) FILTER (WHERE mlp_pred = 'T') AS "n_T", count(*) FILTER (WHERE mlp_pred = 'Y') AS "n_Y",
+ count(*) FILTER (WHERE mlp_pred = 'X') AS "n_X", count(*) FILTER (WHERE mlp_pred = 'N') AS "n_N" FROM fx_detections WHERE (id * 7 + scene_id) % 5 > scene_id % 3 GROUP BY 1),
 fs AS (SELECT fr.*, CASE WHEN "n_T" + "n_Y" + "n_X" > 0 THEN "n_T" / ("n_T" + "n_Y" + "n_X") ELSE 0.0 END AS f_t, center_lat FROM fr LEFT JOIN fx_scenes USING (scene_id))"""
 
 
 def _fractions(spark, sf):
-    d = derived(spark, sf, "fx_detections").where("(id * 7 + scene_id) % 5 > 0")
-    return K.scene_fractions(d, "cnn_pred", BY, derived(spark, sf, "fx_scenes"))
+    d = derived(spark, sf, "fx_detections").where("(id * 7 + scene_id) % 5 > scene_id % 3")
+    return K.scene_fractions(d, "mlp_pred", BY, derived(spark, sf, "fx_scenes"))
 
 
 @query("scene_fractions", with_fx("fx_detections", "fx_scenes") + f', {FRACTIONS} SELECT scene_id, "n_T", "n_Y", "n_X", "n_N", round(f_t, 6) AS f_t, center_lat FROM fs')
