@@ -30,13 +30,34 @@ def _label_block(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
         ok = (pos < len(s)) & (s[np.minimum(pos, len(s) - 1)] == s + step)
         heads.append(np.flatnonzero(ok))
         tails.append(pos[ok])
-    u, v = np.concatenate(heads), np.concatenate(tails)
-    root = np.arange(len(s))
+    out = np.empty(len(s), dtype=np.int64)
+    out[order] = s[_roots(len(s), np.concatenate(heads), np.concatenate(tails))]
+    return out
+
+
+def _label_gaps(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The same for row gaps of one block; gaps of adjacent rows are linked where they share a column."""
+    at = y.astype(np.int64) * P.PITCH + lo
+    order = np.argsort(at, kind="stable")
+    s, ys, los, his = at[order], y[order], lo[order], hi[order]
+    heads, tails = [], []
+    for dy in (-1, 1):
+        pos = np.searchsorted(s, s + dy * P.PITCH, side="right") - 1
+        near = np.maximum(pos, 0)
+        ok = (pos >= 0) & (ys[near] == ys + dy) & (his[near] >= los)
+        heads.append(np.flatnonzero(ok))
+        tails.append(pos[ok])
+    out = np.empty(len(s), dtype=np.int64)
+    out[order] = s[_roots(len(s), np.concatenate(heads), np.concatenate(tails))]
+    return out
+
+
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least index of each node's group, by hooking larger roots to smaller ones and jumping pointers."""
+    root = np.arange(n)
     while len(u):
         ru, rv = root[u], root[v]
         live = ru != rv
-        if not live.any():
-            break
         u, v, ru, rv = u[live], v[live], ru[live], rv[live]
         np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
         while True:
@@ -44,9 +65,7 @@ def _label_block(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
             if (up == root).all():
                 break
             root = up
-    out = np.empty(len(s), dtype=np.int64)
-    out[order] = s[root]
-    return out
+    return root
 
 
 def components(px: DataFrame, diagonal: bool = True, key: str = "tile_id") -> DataFrame:
@@ -115,34 +134,61 @@ def valid_region(gray: DataFrame, dims: DataFrame, threshold: int, border_only:
 def fill_holes(px: DataFrame, key: str = "tile_id") -> DataFrame:
     """Add the background pixels that no 4-connected background path joins to the outside.
 
-    Only the gaps between foreground pixels of one row can be holes, so the graph has one node for each
-    gap instead of one for each background pixel. Gaps of adjacent rows that share a column are linked; a gap that
-    meets the open part of a neighbouring row is linked to the outside."""
+    Only the gaps between foreground pixels of one row can be holes, so gaps are labelled, not background
+    pixels: inside blocks first, then across block edges. A group is open, and no hole, if one of its gaps meets
+    the part of a neighbouring row that lies beyond that row's outermost pixels."""
     row = W.partitionBy(key, "y").orderBy("x")
-    gaps = cut(
+    kind = px.schema[key].dataType.simpleString()
+    reach = px.groupBy(key, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    up, down = ((reach.select(key, (F.col("y") + d).alias("y"), F.col("x0").alias(f"x0{d}"), F.col("x1").alias(f"x1{d}"))) for d in (-1, 1))
+    gaps = (
         px.select(key, "y", "x", F.lead("x").over(row).alias("nx")).where("nx > x + 1")
         .select(key, "y", (F.col("x") + 1).alias("lo"), (F.col("nx") - 1).alias("hi"))
+        .join(up, [key, "y"], "left").join(down, [key, "y"], "left")
     )
-    reach = px.groupBy(key, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    node = F.struct(F.col(key).alias(key), F.col("y").alias("y"), F.col("lo").alias("lo"))
-    around = gaps.withColumn("ny", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)))
-    seen = reach.withColumnRenamed("y", "ny")
-    open_gaps = around.join(seen, [key, "ny"], "left").where("x0 IS NULL OR lo < x0 OR hi > x1").select(node.alias("node")).distinct()
-    # For each gap start, the last gap of a neighbouring row that starts at or left of it.
-    ask = around.select(key, F.col("ny").alias("row"), F.col("lo").alias("at"), F.lit(1).alias("kind"), node.alias("me"),
-                        F.lit(None).cast("int").alias("end"))
-    have = gaps.select(key, F.col("y").alias("row"), F.col("lo").alias("at"), F.lit(0).alias("kind"), node.alias("me"), F.col("hi").alias("end"))
-    line = W.partitionBy(key, "row").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    latest = F.last(F.when(F.col("kind") == 0, F.struct("me", "end")), ignorenulls=True).over(line)
-    links = (
-        ask.unionByName(have).withColumn("_l", latest).where("kind = 1 AND _l.end >= at")
-        .select(F.col("me").alias("u"), F.col("_l.me").alias("v"))
+    beyond = F.lit(False)
+    for d in (-1, 1):
+        beyond = beyond | F.col(f"x0{d}").isNull() | (F.col("lo") < F.col(f"x0{d}")) | (F.col("hi") > F.col(f"x1{d}"))
+    pieces = (
+        gaps.withColumn("open", beyond)
+        .withColumn("_bx", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))))
+        .select(key, "y", F.greatest(F.col("lo"), F.col("_bx") * BLOCK).cast("int").alias("lo"),
+                F.least(F.col("hi"), F.col("_bx") * BLOCK + BLOCK - 1).cast("int").alias("hi"), "open",
+                F.floor(F.col("y") / BLOCK).alias("_by"), "_bx")
+    )
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[[key, "y", "lo", "hi", "open"]].copy()
+        out["lab"] = _label_gaps(pdf["y"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy())
+        return out
+
+    labelled = cut(pieces.groupBy(key, "_by", "_bx").applyInPandas(label, f"{key} {kind}, y int, lo int, hi int, open boolean, lab long"))
+    node = F.struct(F.col(key), F.col("lab"))
+    side = W.partitionBy(key, "y").orderBy("lo")
+    across = (
+        labelled.where((F.pmod("lo", F.lit(BLOCK)) == 0) | (F.pmod("hi", F.lit(BLOCK)) == BLOCK - 1))
+        .select(node.alias("u"), "hi", F.lead(node).over(side).alias("v"), F.lead("lo").over(side).alias("next_lo"))
+        .where("next_lo = hi + 1").select("u", "v")
+    )
+    # Rows on both sides of a block edge: each gap start looks up the gap of the other row that covers it.
+    top = labelled.where(F.pmod("y", F.lit(BLOCK)) == BLOCK - 1).withColumn("edge", F.col("y"))
+    bottom = labelled.where(F.pmod("y", F.lit(BLOCK)) == 0).withColumn("edge", F.col("y") - 1)
+    rim = top.unionByName(bottom)
+    last = {d: F.last(F.when(F.col("y") - F.col("edge") == d, F.struct(node.alias("n"), F.col("hi").alias("end"))), ignorenulls=True).over(
+        W.partitionBy(key, "edge").orderBy("lo").rangeBetween(W.unboundedPreceding, W.currentRow)) for d in (0, 1)}
+    down_links = (
+        rim.withColumn("_0", last[0]).withColumn("_1", last[1])
+        .withColumn("_o", F.when(F.col("y") == F.col("edge"), F.col("_1")).otherwise(F.col("_0")))
+        .where("_o.end >= lo").select(node.alias("u"), F.col("_o.n").alias("v"))
+    )
+    comp = graph.components(across.unionByName(down_links))
+    groups = (
+        labelled.groupBy(key, "lab").agg(F.max("open").alias("open")).withColumn("node", node).join(comp, "node", "left")
+        .withColumn("comp", F.coalesce("comp", "node"))
     )
-    comp = cut(graph.components(links))
-    tagged = gaps.withColumn("node", node).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    outside = open_gaps.join(comp, "node", "left").select(F.coalesce("comp", "node").alias("comp")).distinct()
-    holes = tagged.join(outside, "comp", "left_anti").select(key, "y", F.explode(F.sequence("lo", "hi")).alias("x"))
-    return px.select(key, "y", "x").unionByName(holes)
+    closed = groups.groupBy("comp").agg(F.max("open").alias("_any")).where("NOT _any")
+    holes = labelled.join(groups.join(closed, "comp", "left_semi").select(key, "lab"), [key, "lab"], "left_semi")
+    return px.select(key, "y", "x").unionByName(holes.select(key, "y", F.explode(F.sequence("lo", "hi")).alias("x")))
 
 
 def morph_skeleton(px: DataFrame, dims: DataFrame, key: str = "tile_id") -> DataFrame:

@@ -8,6 +8,7 @@ from lineweave.operators import components as C
 from lineweave.operators import pixels as P
 from lineweave.plans.catalog import query
 from lineweave.plans.derived import TILE_SIDE, derived, with_fx
+from lineweave.session import cut
 
 DEG = """deg AS (
   SELECT p.tile_id, p.y, p.x, CAST(count(q.x) AS INT) AS deg
@@ -209,7 +210,7 @@ free AS (SELECT tile_id, y, x FROM bg WHERE y IN (-2, 193) OR x IN (-2, 193)
 SELECT tile_id, y, x FROM fat UNION ALL (SELECT tile_id, y, x FROM bg EXCEPT SELECT tile_id, y, x FROM free)""")
 def fill_holes(spark, sf):
     """Holes of the pixels grown by one."""
-    return C.fill_holes(P.dilate(derived(spark, sf, "fx_pixels"), P.SQUARE3))
+    return C.fill_holes(cut(P.dilate(derived(spark, sf, "fx_pixels"), P.SQUARE3)))
 
 
 @query("junction_nodes")
