@@ -50,13 +50,14 @@ def radius_join(a: DataFrame, b: DataFrame, r: float, by: Sequence[str], inclusi
     left = _suffixed(a, by, "_a").withColumn("_cx", _cell(F.col("x_a"), r)).withColumn("_cy", _cell(F.col("y_a"), r))
     right = _span(_suffixed(b, by, "_b"), "x_b", "y_b", r)
     keys = [*by, "_cx", "_cy"]
-    cond = [left[k] == right[k] for k in keys]
-    cond.append(_within(r, inclusive))
-    out = left.join(right.select(*keys, *[c for c in right.columns if c not in keys]), cond, how)
+    right = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    cond = _within(r, inclusive)
+    for i, k in enumerate(keys):
+        cond = cond & (F.col(k) == F.col(f"_r{i}"))
+    out = left.join(right, cond, how)
     if how in ("left_semi", "left_anti"):
         return out.drop("_cx", "_cy")
-    names = [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
-    return out.select(*[left[k] for k in by], *names, _d2().alias("d2"))
+    return out.withColumn("d2", _d2()).drop("_cx", "_cy", *[f"_r{i}" for i in range(len(keys))])
 
 
 def radius_semi_join(a: DataFrame, b: DataFrame, r: float, by: Sequence[str], inclusive: bool = True,

@@ -1,6 +1,6 @@
 """Named queries over the derived tables and their SQL counterparts."""
 
-from lineweave.plans import columns, imagery, network, points, raster, scores, voting  # noqa: F401
+from lineweave.plans import columns, imagery, network, points, raster, scores, tracing, voting  # noqa: F401
 from lineweave.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

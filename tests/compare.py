@@ -80,7 +80,7 @@ def main(argv):
         try:
             n, verdict = compare(spark, con, fn, ORACLES.get(name), sf_dir)
         except Exception as exc:  # noqa: BLE001 - report and go on
-            n, verdict = -1, f"{type(exc).__name__}: {str(exc)[:700]}"
+            n, verdict = -1, f"{type(exc).__name__}: {str(exc)[-1200:]}"
         state = "rows only" if verdict is None else ("ok" if verdict == "" else "FAIL " + verdict)
         failed += state.startswith("FAIL")
         print(f"{name:32s} {n:8d} rows {time.time() - t0:6.2f}s  {state}", flush=True)
