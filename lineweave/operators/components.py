@@ -18,7 +18,7 @@ from lineweave.session import cut, is_empty
 BLOCK = 256
 
 
-def _label_block(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
+def label_pixels(y: np.ndarray, x: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Least row-major position of each pixel's group inside one block."""
     at = y.astype(np.int64) * P.PITCH + x
     order = np.argsort(at, kind="stable")
@@ -75,7 +75,7 @@ def components(px: DataFrame, diagonal: bool = True, key: str = "tile_id") -> Da
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[[key, "y", "x"]].copy()
-        out["lab"] = _label_block(pdf["y"].to_numpy(), pdf["x"].to_numpy(), diagonal)
+        out["lab"] = label_pixels(pdf["y"].to_numpy(), pdf["x"].to_numpy(), diagonal)
         return out
 
     labelled = cut(blocks.groupBy(key, "_by", "_bx").applyInPandas(label, f"{key} {kind}, y int, x int, lab long"))

@@ -11,7 +11,6 @@ DY = np.array([-1, -1, -1, 0, 0, 1, 1, 1])
 DX = np.array([-1, 0, 1, -1, 1, -1, 0, 1])
 _UNIT = np.stack([DY, DX], axis=1) / np.sqrt(DY * DY + DX * DX)[:, None]
 TURN = np.round(_UNIT @ _UNIT.T, 9)        # cosine between two step directions
-FAR = np.iinfo(np.int64).max
 
 
 def degree(stack: np.ndarray) -> np.ndarray:
@@ -97,20 +96,6 @@ def follow_from_end(stack, deg, b, y, x, limit: int):
     return path, n
 
 
-def label(stack: np.ndarray) -> np.ndarray:
-    """Least flat position of each 8-connected group inside each window; FAR on dark pixels."""
-    h, w = stack.shape[1:]
-    lab = np.where(stack > 0, np.arange(h * w).reshape(h, w)[None], FAR)
-    while True:
-        new = lab.copy()
-        for dy, dx in zip(DY, DX):
-            new[:, 1:-1, 1:-1] = np.minimum(new[:, 1:-1, 1:-1], lab[:, 1 + dy:h - 1 + dy, 1 + dx:w - 1 + dx])
-        new[stack == 0] = FAR
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def thin_pass(bw: np.ndarray, rounds: int) -> np.ndarray:
     """Up to ``rounds`` rounds of two-step parallel thinning (Guo and Hall, 1989) on one block."""
     for _ in range(rounds):
