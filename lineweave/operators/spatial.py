@@ -209,3 +209,41 @@ def _ranked_places(df: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
     )
     pos = F.row_number().over(W.partitionBy(*place, "_s").orderBy("key")) + F.col("_before")
     return rows.join(before, [*place, "_s"]).select(*place, "key", "place", "n", pos.alias("pos"))
+
+
+# ---------------------------------------------------------------- merged groups
+
+def merge_groups(df: DataFrame, groups: Sequence[str], by: Sequence[str], id_col: str = "id") -> DataFrame:
+    """One row for each group: the best-scored row at the group's medoid, with the group's size and sources.
+
+    The member with the least total squared distance to the others is the one nearest to the mean, so no pairs are made."""
+    means = df.groupBy(*groups).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    off = F.pow(F.col("x") - F.col("_mx"), 2) + F.pow(F.col("y") - F.col("_my"), 2)
+    rest = [c for c in df.columns if c not in (*groups, "x", "y")]
+    lead = F.min(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i"), F.struct(*rest).alias("row")))
+    out = df.join(means, list(groups)).groupBy(*groups).agg(
+        lead.alias("_b"), F.min(F.struct(F.round(off, 6).alias("o"), F.col(id_col).alias("i"), "x", "y")).alias("_m"),
+        F.count(F.lit(1)).alias("cluster_size"), F.array_sort(F.collect_set("source_kind")).alias("cluster_source_kinds"))
+    kind = F.when(F.size("cluster_source_kinds") == 1, F.get("cluster_source_kinds", F.lit(0))).otherwise("hybrid")
+    return out.select(*groups, F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), *[F.col(f"_b.row.{c}").alias(c) for c in rest if c != "source_kind"],
+                      kind.alias("source_kind"), "cluster_size", "cluster_source_kinds")
+
+
+def cluster_nms(df: DataFrame, r: float, by: Sequence[str], respect_label: bool = True, label: str = "label") -> DataFrame:
+    """Single-link groups merged to one row each; across labels the label with the best (score, size, name) wins its group."""
+    if respect_label:
+        grouped = radius_clusters(df, r, [*by, label])
+        return merge_groups(grouped, [*by, label, "cluster_id"], by).drop("cluster_id")
+    grouped = radius_clusters(df, r, by)
+    votes = grouped.groupBy(*by, "cluster_id", label).agg(F.max("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    best = votes.groupBy(*by, "cluster_id").agg(F.min(F.struct((-F.col("_s")).alias("s"), (-F.col("_n")).alias("n"), F.col(label).alias(label))).alias("_w"))
+    winners = best.select(*by, "cluster_id", F.col(f"_w.{label}").alias(label))
+    kept = grouped.join(winners, [*by, "cluster_id", label], "left_semi")
+    return merge_groups(kept, [*by, label, "cluster_id"], by).drop("cluster_id")
+
+
+def box_join(px: DataFrame, centers: DataFrame, lo: int, hi: int, by: Sequence[str]) -> DataFrame:
+    """Pairs with ``lo <= px - center <= hi`` on both axes; columns get ``_a`` and ``_b``."""
+    reach = max(abs(lo), abs(hi))
+    near = radius_join(px, centers, reach * 2 ** 0.5 + 1e-9, by)
+    return near.where((F.col("x_a") - F.col("x_b")).between(lo, hi) & (F.col("y_a") - F.col("y_b")).between(lo, hi))
