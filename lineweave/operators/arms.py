@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lineweave.functions import scalars as X
 from lineweave.operators import components as C
@@ -16,6 +17,7 @@ from lineweave.operators import pixels as P
 from lineweave.operators import rings as R
 from lineweave.operators.paths import _by_place, by_block
 from lineweave.operators.spatial import box_join, cluster_nms, nms
+from lineweave.session import cut
 
 
 @dataclass(frozen=True)
@@ -192,8 +194,9 @@ def best_centers(px: DataFrame, comps: DataFrame, rules: Rules = Rules(), max_ce
         return best.select(key, "comp_id", "b.x", "b.y", "b.r.*")
     one = ranked.groupBy(key, "comp_id", "x", "y").agg(F.min_by(F.struct("id", "_off", "sx", "sy", *rest), F.struct(*order, "id")).alias("b")).select(
         key, "comp_id", "x", "y", "b.*")
+    order = [-F.col("arm_count"), F.round("err", 9), F.col("_off"), F.col("sy"), F.col("sx")]
+    one = cut(one)
     kept = nms(one, separation or float(rules.inner), [key, "comp_id"], order)
-    from pyspark.sql import Window as W
     place = W.partitionBy(key, "comp_id").orderBy(*order)      # a component keeps few places after separation
     return kept.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= max_centers).select(key, "comp_id", "x", "y", *rest)
 
@@ -206,7 +209,8 @@ def graph_detect(px: DataFrame, rules: Rules = Rules(), min_area: int = 1, max_c
         comps = comps.join(big, [key, "comp_id"], "left_semi")
     found = best_centers(px, comps, rules, max_centers, key=key)
     dets = found.withColumns({"id": F.xxhash64("comp_id", "y", "x"), "source_kind": F.lit("graph")})
-    by_label = cluster_nms(dets.select(key, "id", "x", "y", "label", "score", "arm_count", "source_kind"), nms_distance, [key])
+    dets = cut(dets.select(key, "id", "x", "y", "label", "score", "arm_count", "source_kind"))
+    by_label = cut(cluster_nms(dets, nms_distance, [key]))
     return cluster_nms(by_label.drop("cluster_size", "cluster_source_kinds"), nms_distance, [key], respect_label=False)
 
 

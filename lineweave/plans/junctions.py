@@ -34,8 +34,8 @@ def ring_arms(spark, sf):
 
 @query("local_geometry", RPX + f""", {ARMS}, n AS (SELECT pid, count(*) AS n FROM ok GROUP BY 1),
 ang AS (SELECT a.pid, list_sort(list(degrees(acos(greatest(-1.0, least(1.0, a.ux * b.ux + a.uy * b.uy)))))) AS g FROM ok a JOIN ok b ON a.pid = b.pid AND a.comp_id < b.comp_id GROUP BY 1),
-e AS (SELECT n.pid, n.n, g[1] AS a0, g[2] AS a1, g[3] AS a2 FROM n LEFT JOIN ang USING (pid)),
-f AS (SELECT *, abs(a2 - 180) + 0.7 * (abs(a0 - 90) + abs(a1 - 90)) AS t, abs(a0 - 120) + abs(a1 - 120) + abs(a2 - 120) AS v, a2 >= 150 AND a1 <= 124 AND a0 <= 124 AS gd FROM e)
+tri AS (SELECT n.pid, n.n, g[1] AS a0, g[2] AS a1, g[3] AS a2 FROM n LEFT JOIN ang USING (pid)),
+f AS (SELECT *, abs(a2 - 180) + 0.7 * (abs(a0 - 90) + abs(a1 - 90)) AS t, abs(a0 - 120) + abs(a1 - 120) + abs(a2 - 120) AS v, a2 >= 150 AND a1 <= 124 AND a0 <= 124 AS gd FROM tri)
 SELECT p.id, p.tile_id, CAST(coalesce(f.n, 0) AS INT) AS arm_count, CASE WHEN f.n >= 4 THEN 'X' WHEN f.n = 3 THEN CASE WHEN gd AND t <= v + 6 THEN 'T' ELSE 'Y' END ELSE '' END AS label,
  round(CASE WHEN f.n >= 4 THEN 1.0 WHEN f.n = 3 THEN 1 / (1 + CASE WHEN gd AND t <= v + 6 THEN t ELSE v END) ELSE 0.0 END, 5) AS score
 FROM pts p LEFT JOIN f ON f.pid = p.id || ':' || p.tile_id""")

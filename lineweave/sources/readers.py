@@ -128,7 +128,10 @@ def pair_files(images: DataFrame, masks: DataFrame) -> DataFrame:
     return best.select(F.col("path").alias("image_path"), "name", F.col("b.mask_path").alias("mask_path"))
 
 
-def parse_template_names(files: DataFrame, pattern: str, allowed: Sequence[str] = ("T", "Y", "X"), legacy_v: bool = True) -> DataFrame:
+TEMPLATE_NAME = r"^([A-Za-z]+)_s(\d+)_a(\d+)_r(\d+)$"      # fixed value: type, size, spread, rotation
+
+
+def parse_template_names(files: DataFrame, pattern: str = TEMPLATE_NAME, allowed: Sequence[str] = ("T", "Y", "X"), legacy_v: bool = True) -> DataFrame:
     """``(label, source_type, size, spread, rotation, gray, path)`` from file names; ``pattern`` has four groups."""
     raw = F.upper(F.regexp_extract("stem", pattern, 1))
     parent = F.element_at(F.split("path", "/"), -2)
