@@ -139,3 +139,90 @@ def multiradius_evidence(spark, sf):
 @query("structural_relabel", with_fx("fx_detections") + f", {RULE_SQL} SELECT id, decision, gate_reason, CASE WHEN gate_reason IN ('pass', 'no_change') THEN decision ELSE label END AS label FROM g")
 def structural_relabel(spark, sf):
     return A.structural_relabel(_evidence_rows(spark, sf), TREE).select("id", "decision", "gate_reason", "label")
+
+
+def _two_sources(spark, sf):
+    d = _dets(spark, sf).select("tile_id", "id", "x", "y", "label", F.col("p_t").alias("score"))
+    return cut(d.where("id % 2 = 0")), cut(d.where("id % 2 = 1"))
+
+
+SRC = """dets AS (SELECT scene_id % 15 AS tile_id, id, x % 192 AS x, y % 192 AS y, cnn_pred AS label, score FROM fx_detections WHERE cnn_pred <> 'N'),
+gr AS (SELECT * FROM dets WHERE id % 2 = 0), te AS (SELECT * FROM dets WHERE id % 2 = 1),
+un AS (SELECT *, tile_id || ':' || label AS tl FROM gr UNION ALL SELECT *, tile_id || ':' || label FROM te WHERE NOT EXISTS (
+  SELECT 1 FROM gr WHERE gr.tile_id = te.tile_id AND (gr.x - te.x) * (gr.x - te.x) + (gr.y - te.y) * (gr.y - te.y) <= 4)),"""
+
+
+@query("fuse_simple", with_fx("fx_detections", recursive=True) + f""", {SRC} {__import__('lineweave.plans.points', fromlist=['clusters_sql']).clusters_sql('un', '<= 4', by='tl')}
+SELECT tile_id, label, max(score) AS score, count(*) AS cluster_size FROM un JOIN cl USING (id) GROUP BY tile_id, label, cluster_id""")
+def fuse_simple(spark, sf):
+    from lineweave.operators import fusion
+
+    g, t = (df.where("label <> 'N'").withColumn("source_kind", F.lit(k)) for df, k in zip(_two_sources(spark, sf), ("graph", "template")))
+    return fusion.fuse_simple(g, t, 2.0).select("tile_id", "label", "score", "cluster_size")
+
+
+@query("fuse_sources")
+def fuse_sources(spark, sf):
+    from lineweave.operators import fusion
+
+    g, t = _two_sources(spark, sf)
+    out = fusion.fuse_sources(g, t, cut(derived(spark, sf, "fx_pixels")), 3.0, RULES)
+    return out.select("tile_id", "x", "y", "label", "score", "source_kind", "fusion_reason", "cluster_size")
+
+
+@query("radius_features")
+def radius_features(spark, sf):
+    from lineweave.operators import fusion
+
+    return fusion.radius_features(_dets(spark, sf), cut(derived(spark, sf, "fx_pixels")), (4, 5, 6), RULES).drop("p_t")
+
+
+RULE = {"feature_names": ["arm_count_29", "err_t_29"], "children_left": [1, -1, 3, -1, -1], "children_right": [2, -1, 4, -1, -1], "feature": [0, -2, 1, -2, -2],
+        "threshold": [2.5, 0, 60.0, 0, 0], "decision": [None, "Y", None, "T", "Y"]}
+
+
+@query("tree_rule", with_fx("fx_detections") + f", {EV.rstrip(',')}" + """ SELECT id, CASE WHEN label NOT IN ('T', 'Y') OR arm_count_29 IS NULL THEN label WHEN arm_count_29 <= 2.5 THEN 'Y'
+ WHEN err_t_29 <= 60 THEN 'T' ELSE 'Y' END AS label FROM ev""")
+def tree_rule(spark, sf):
+    from lineweave.operators import fusion
+
+    return fusion.tree_rule(_evidence_rows(spark, sf), RULE).select("id", "label")
+
+
+@query("density_profile", RPX.replace("WITH RECURSIVE", "WITH") + f""", {PTS}, b AS (SELECT tile_id, count(*) FILTER (WHERE deg >= 3) / count(*) AS r FROM deg GROUP BY 1)
+SELECT tile_id, CAST(r < 0.04 AS INT) AS low_branch, CASE WHEN r < 0.04 THEN 12 ELSE 5 END AS nms_distance, 13 AS outer_radius, CASE WHEN r < 0.04 THEN 2 ELSE 1 END AS max_centers FROM b""")
+def density_profile(spark, sf):
+    from lineweave.operators import fusion
+
+    out = fusion.density_profile(P.branch_ratio(derived(spark, sf, "fx_pixels")), threshold=0.04)
+    return out.select("tile_id", F.col("low_branch").cast("int").alias("low_branch"), "nms_distance", "outer_radius", "max_centers")
+
+
+@query("template_scan")
+def template_scan(spark, sf):
+    """A T, a Y and an X of 9 px against the derived pixels."""
+    import numpy as np
+
+    from lineweave.operators import fusion
+
+    t, y, x = np.zeros((9, 9)), np.zeros((9, 9)), np.zeros((9, 9))
+    t[4, :], t[4:, 4] = 255, 255
+    y[4:, 4] = 255
+    for i in range(5):
+        y[i, i], y[i, 8 - i] = 255, 255
+    x[4, :], x[:, 4] = 255, 255
+    out = fusion.template_scan(derived(spark, sf, "fx_pixels"), [("T", t), ("Y", y), ("X", x)], 0.45)
+    return out.select("tile_id", "label", "y", "x", F.round("score", 5).alias("score"))
+
+
+@query("geometric_sweep")
+def geometric_sweep(spark, sf):
+    """All 72 cells over one reading of the circles; the fourth head of the folded detections is the truth."""
+    from lineweave.operators import rings as R
+    from lineweave.operators import sweeps as W
+
+    rows = derived(spark, sf, "fx_detections").select((F.col("scene_id") % 15).alias("tile_id"), "id", (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"),
+                                                      F.col("xgb_pred").alias("true_label"), F.col("cnn_pred").alias("pred_label"), "branch_count", "max_gap_deg")
+    table = R.collinearity_table(derived(spark, sf, "fx_pixels"), rows.select("tile_id", "id", "x", "y"), (12, 16, 20, 25))
+    wide = table.groupBy("tile_id", "id").agg(*[F.max(F.when(F.col("radius") == r, F.col(c))).alias(f"{c}_{r}") for r in (12, 16, 20, 25) for c in ("n_arms", "deviation")])
+    return W.geometric_sweep(cut(rows.join(wide, ["tile_id", "id"])))
