@@ -126,20 +126,20 @@ def local_geometry(px: DataFrame, points: DataFrame, outers: Sequence[int] | Non
         F.when(n >= 4, 0.0).when(n == 3, F.col("_t.err")).otherwise(inf).alias("err"), F.coalesce("_t.err_t", inf).alias("err_t"),
         F.coalesce("_t.err_y", inf).alias("err_y"), F.when(n >= 4, False).otherwise(F.coalesce("_t.ambiguous", F.lit(True))).alias("ambiguous"), "sx", "sy")
     if rules.mode in ("robust", "robust_vote"):
-        out = _with_jitter(px, out, rules, key)
+        out = _with_jitter(px, out, outers, rules, key)
     score = F.when(F.col("err") == inf, 0.0).otherwise(1.0 / (1.0 + F.greatest(F.lit(0.0), F.col("err"))))
     every = points.select(key, "id", F.explode(F.array(*[F.lit(int(max(rules.inner + 1, o))) for o in sorted(set(outers))])).alias("outer"))
     return every.join(out.withColumn("score", score), [key, "id", "outer"], "left").fillna({"label": "", "arm_count": 0, "score": 0.0, "ambiguous": True})
 
 
-def jitter_hypotheses(px: DataFrame, bases: DataFrame, offsets: Sequence[int], rules: Rules, key: str = "tile_id") -> DataFrame:
+def jitter_hypotheses(px: DataFrame, bases: DataFrame, outers: Sequence[int], offsets: Sequence[int], rules: Rules, key: str = "tile_id") -> DataFrame:
     """Three-arm readings at every pixel within the jitter of a base place (and at the base), one row each.
 
-    ``bases`` has ``(key, id, x, y, outer)``; ``err`` totals add a penalty for the distance moved."""
+    ``bases`` has ``(key, id, x, y, outer)`` with ``outer`` out of ``outers``; ``err`` totals add a penalty for the distance moved."""
     spots = box_join(px.select(key, "x", "y"), bases.select(key, "id", "x", "y", "outer"), -rules.jitter, rules.jitter, [key]).select(
         key, F.col("id_b").alias("base"), F.col("outer_b").alias("base_outer"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.sqrt("d2").alias("dist"))
     tried = spots.withColumn("outer", F.explode(F.array(*[(F.col("base_outer") + o).cast("int") for o in sorted(set(offsets))])))
-    sizes = sorted({int(r["outer"]) for r in bases.select("outer").distinct().limit(64).collect()})      # a handful of radii, not rows
+    sizes = [max(rules.inner + 1, int(o)) for o in outers]
     places = tried.select(key, "x", "y").distinct().withColumn("id", P.line_key())
     arms = ring_arms(px, places, [s + o for s in sizes for o in offsets], rules, key)
     joined = tried.withColumn("id", P.line_key()).join(arms, [key, "id", "outer"]).where(F.size("arms") == 3).withColumn("_t", _three(rules, "robust"))
@@ -149,10 +149,10 @@ def jitter_hypotheses(px: DataFrame, bases: DataFrame, offsets: Sequence[int], r
                          (F.col("_t.err_y") + far).alias("total_y"))
 
 
-def _with_jitter(px: DataFrame, read: DataFrame, rules: Rules, key: str) -> DataFrame:
+def _with_jitter(px: DataFrame, read: DataFrame, outers: Sequence[int], rules: Rules, key: str) -> DataFrame:
     voted = rules.mode == "robust_vote"
     bases = read.where("arm_count = 3").select(key, "id", F.col("sx").alias("x"), F.col("sy").alias("y"), "outer")
-    hyp = jitter_hypotheses(px, bases, rules.vote_offsets if voted else (0,), rules, key)
+    hyp = jitter_hypotheses(px, bases, outers, rules.vote_offsets if voted else (0,), rules, key)
     near = F.lit(1.0) / (F.col("dist") * rules.distance_weight + 1.0)
     t_like = F.exp(-F.col("total_t") / rules.temperature) * F.when(F.col("t_guard"), 1.0).otherwise(rules.guard_scale)
     y_like = F.exp(-F.col("total_y") / rules.temperature)
