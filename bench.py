@@ -16,7 +16,7 @@ from lineweave.session import local_session
 HEADLINE = [
     "degree_map", "branch_ratio", "dilate_disk", "open_close", "components", "fill_holes", "radius_join", "greedy_match", "nms",
     "radius_clusters", "class_metrics", "calibrated_fractions", "vote", "synthesis_filter", "cluster_arbitrate", "interval",
-    "threshold_sweep", "stretch", "ring_angles", "crossing_number", "local_junction", "virtual_bridges",
+    "threshold_sweep", "stretch", "ring_angles", "crossing_number", "local_junction", "ring_arms",
 ]
 
 

@@ -1,0 +1,2 @@
+"""Left empty on purpose: the work has no streams. The tile operators keep no state across tiles, so a job can
+call them from ``foreachBatch`` as they are."""

@@ -134,3 +134,18 @@ def test_row_order_does_not_matter(spark, px):
     a = {tuple(r) for r in C.components(px).collect()}
     b = {tuple(r) for r in C.components(px.orderBy("x", "y", ascending=False).repartition(5)).collect()}
     assert a == b
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_neighbour_operators_shuffle_once(spark, px, tmp_path):
+    px.write.parquet(str(tmp_path / "px"))
+    stored = spark.read.parquet(str(tmp_path / "px"))
+    assert exchanges(P.degree_map(stored)) == 1
+    assert exchanges(P.degree_map(stored, neighbours=True)) == 1
+    assert exchanges(P.erode(stored, P.disk(3))) == 1
+    plan = P.degree_map(stored.where("tile_id = 'tee'"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(tile_id), EqualTo(tile_id,tee)]" in plan
