@@ -356,3 +356,29 @@ def structural_relabel(df: DataFrame, tree: dict, min_margin: float = 0.35, bran
     rich = rich.withColumn("gate_reason", structural_gate(F.col("decision"), F.col("tree_margin"), min_margin))
     ok = F.col("gate_reason").isin("pass", "no_change")
     return rich.withColumn("label", F.when(ok, F.col("decision")).otherwise(F.col("label")))
+
+
+def component_arms(px: DataFrame, comps: DataFrame, rules: Rules = Rules(), key: str = "tile_id") -> DataFrame:
+    """Fallback reading of a branch component as a whole -> ``(key, comp_id, x, y, label, score, arm_count)``.
+
+    Arms are the lit groups between two dilations of the component; directions are taken from its centroid. Pixels are keyed
+    by component here, so the morphology operators work on all components at once."""
+    keyed = comps.withColumn("_k", F.concat_ws(":", F.col(key).cast("string"), F.col("comp_id").cast("string")))
+    shape = keyed.select("_k", "y", "x")
+    outer = P.dilate(shape, P.ellipse(2 * max(rules.outer, rules.inner + 1) + 1), key="_k")
+    inner = P.dilate(shape, P.ellipse(2 * max(1, rules.inner) + 1), key="_k")
+    mids = keyed.groupBy("_k", key, "comp_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    band = P.mask_minus(outer, inner, "_k").join(mids.select("_k", key), "_k")
+    lit = band.join(px.select(key, "y", "x"), [key, "y", "x"], "left_semi").select("_k", "y", "x")
+    arms = C.component_stats(C.components(lit, key="_k"), "_k").where(F.col("area") >= max(1, rules.min_pixels)).select("_k", "comp_id", "area", "cx", "cy")
+    vec = arms.withColumnRenamed("comp_id", "arm").join(mids, "_k").withColumns({"vx": F.col("cx") - F.col("x"), "vy": F.col("cy") - F.col("y")})
+    norm = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    unit = vec.withColumn("_n", norm).where("_n >= 1e-6").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct(
+        "arm", (F.col("vx") / F.col("_n")).alias("ux"), (F.col("vy") / F.col("_n")).alias("uy")))).alias("arms"))
+    read = mids.join(unit, "_k", "left").withColumn("arm_count", F.coalesce(F.size("arms"), F.lit(0)))
+    read = read.withColumn("arm_count", F.greatest("arm_count", F.lit(0))).withColumn("_t", F.when(F.col("arm_count") == 3, _three(rules)))
+    n = F.col("arm_count")
+    return read.select(
+        key, "comp_id", "x", "y", F.when(n >= 4, "X").when(n == 3, F.col("_t.label")).otherwise("").alias("label"),
+        F.when(n >= 4, F.least(F.lit(1.0), 0.6 + 0.1 * F.least(n, F.lit(5)))).when(n == 3, 1.0 / (1.0 + F.greatest(F.lit(0.0), F.col("_t.err")))).otherwise(0.0).alias("score"),
+        "arm_count")

@@ -226,3 +226,11 @@ def geometric_sweep(spark, sf):
     table = R.collinearity_table(derived(spark, sf, "fx_pixels"), rows.select("tile_id", "id", "x", "y"), (12, 16, 20, 25))
     wide = table.groupBy("tile_id", "id").agg(*[F.max(F.when(F.col("radius") == r, F.col(c))).alias(f"{c}_{r}") for r in (12, 16, 20, 25) for c in ("n_arms", "deviation")])
     return W.geometric_sweep(cut(rows.join(wide, ["tile_id", "id"])))
+
+
+@query("component_arms")
+def component_arms(spark, sf):
+    from lineweave.operators.components import components
+
+    px = cut(derived(spark, sf, "fx_pixels"))
+    return A.component_arms(px, cut(components(P.branch_pixels(px))), RULES)
