@@ -121,14 +121,15 @@ def _jaccard(threshold: float):
 
 
 def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row per document -> ``(doc_id, th, class_id, n_links)``.
+    """One row per document -> ``(doc_id, th, class_id, n_links, kept)``.
 
     Two documents are linked when the Jaccard similarity of their sets of ``words``-word n-grams (lower case, split at
     white space) is at least ``threshold``. ``n_links`` counts the other documents linked to it, copies included;
     ``class_id`` is the least doc_id reachable by links. A text of fewer than ``words`` words has one gram of all its
     words. Null, empty and blank texts have no gram; they are alike and form one class. Each input row counts as a
     document, so repeated rows link to each other. A null doc_id is an id less than all others. ``th`` is the hash of the
-    text as it came; with doc_id it names the row."""
+    text as it came; with doc_id it names the row. ``kept`` marks the row of a class with the least doc_id, then the least
+    ``th``; rows that agree in both are equal and are all marked."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select("doc_id", "text")
     flat = cut(sketches(docs, words, bands, rows))
@@ -139,16 +140,19 @@ def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recal
     wanted = classes.select("item", "copies", "rep.doc_id", "rep.th").join(keys, "item")
     wanted = cut(wanted)
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.th").eqNullSafe(F.col("w.th"))
-    texts = docs.withColumn("th", F.xxhash64("text")).alias("d").join(wanted.select("item", "doc_id", "th").alias("w"), same).select("item", "text")
+    # The wanted rows grow with the corpus, so the same shuffled join serves every size.
+    reps = wanted.select("item", "doc_id", "th").hint("merge").alias("w")
+    texts = docs.withColumn("th", F.xxhash64("text")).alias("d").join(reps, same).select("item", "text")
     members = _gram_sets(texts, words).join(wanted.select("item", "copies", "keys"), "item")
     pairs = cut(candidates.linked(members, _jaccard(threshold)))
     comp = components(pairs.select(F.col("item").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("item"), "comp")
     links = pairs.groupBy("item").agg(F.sum("links").alias("links"))
-    placed = classes.select("item", "copies", "rep.doc_id").join(comp, "item", "left").join(links, "item", "left")
+    placed = classes.select("item", "copies", "rep").join(comp, "item", "left").join(links, "item", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "item"))
-    least = placed.groupBy("comp").agg(F.min(F.struct("doc_id"))["doc_id"].alias("class_id"))
-    verdict = placed.join(least, "comp").select("item", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return flat.select("doc_id", "th", "item").join(verdict, "item").select("doc_id", "th", "class_id", "n_links")
+    least = placed.groupBy("comp").agg(F.min("rep").alias("first"))
+    verdict = placed.join(least, "comp").select("item", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
+    return flat.select("doc_id", "th", "item").join(verdict, "item").select("doc_id", "th", F.col("first.doc_id").alias("class_id"), "n_links", kept.alias("kept"))
 
 
 SQL = """

@@ -14,18 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.registry import query, table
+from lineweave.operators.ranks import running_total
 from lineweave.session import cut
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 KNOWN_CHUNKS = 300_000
-RANK_SALT = 64
 
 # White space that str.split() and the tokenizer see differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -154,21 +153,7 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return steps
 
 
-def rank_within(df: DataFrame, group: str, order: Sequence[Column | str], salt: int = RANK_SALT) -> DataFrame:
-    """Adds ``rank`` from 0 inside ``group``, with no task for a whole group.
-
-    Each group is dealt into ``salt`` parts by a hash of the order; a row's rank is its number in its part after the
-    sizes of the parts before."""
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salt)))
-    sizes = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    line = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(group, "_part").orderBy(*order)
-    numbered = dealt.withColumn("_row", F.row_number().over(inside) - 1)
-    return numbered.join(before, [group, "_part"]).withColumn("rank", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
-
-
-def pack(cut_pieces: DataFrame, order: Sequence[Column | str], capacity: int = CAPACITY) -> DataFrame:
+def pack(cut_pieces: DataFrame, order: Sequence[str], capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a written table of pieces; ``order`` must tell all pieces apart."""
     spark = cut_pieces.sparkSession
     counts = {r[0]: r[1] for r in cut_pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
@@ -176,7 +161,8 @@ def pack(cut_pieces: DataFrame, order: Sequence[Column | str], capacity: int = C
     plan = spark.createDataFrame(steps, "length long, first long, upto long, each long, base long, at long")
     by_length = plan.groupBy("length").agg(F.collect_list(F.struct("first", "upto", "each", "base", "at")).alias("steps"))
     # One row for each length, and few steps in each: bounded by the capacity.
-    placed = rank_within(cut_pieces, "length", order).join(F.broadcast(by_length), "length")
+    ranked = running_total(cut_pieces.withColumn("_one", F.lit(1).cast("long")), "_one", order, ["length"]).withColumnRenamed("before", "rank")
+    placed = ranked.drop("_one", "upto").join(F.broadcast(by_length), "length")
     step = F.filter("steps", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["upto"]))[0]
     nth = F.col("rank") - F.col("step.first")
     return (

@@ -1,6 +1,6 @@
 """Imports every operator of this package, so that its query is registered."""
 
-from lineweave.llm import line_dedup, mixing, ngram_join, packing  # noqa: F401
+from lineweave.llm import lang_id, line_dedup, mixing, ngram_join, packing  # noqa: F401
 from lineweave.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
