@@ -24,62 +24,69 @@ from lineweave.session import cut
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_CHUNKS = 300_000
+#: Bounds of what a worker holds: chunks with their ids, chunks encoded in one call, documents handled at once.
+KNOWN_CHUNKS = 400_000
+CALL_CHUNKS = 10_000
+DOCS_AT_ONCE = 200
 
 # White space that str.split() and the tokenizer see differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Texts in which every word may be put into lower case and cut off from a single stop or comma, as the vocabulary does.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ., \n]*")
+_TWO_STOPS = re.compile("[.,][.,]")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class _Encoder:
+class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary never joins text over white space, so the ids of a text are those of its chunks; chunks met before
-    are looked up, and all new chunks of a batch are encoded in one call. At most KNOWN_CHUNKS are held."""
+    The vocabulary never joins text over white space, so the ids of a text are those of its chunks. Chunks met before are
+    looked up, all new chunks of a batch are encoded together. At most KNOWN_CHUNKS are held; then it starts afresh."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        known = self.known
-        new = list({w for words in texts for w in words if w not in known})
-        if len(known) + len(new) > KNOWN_CHUNKS:
-            known.clear()
-            new = list({w for words in texts for w in words})
-        if not new:
-            return
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        at = np.array([o[0] for o in got.offsets], np.int64)
-        starts = np.cumsum([0] + [len(w) + 1 for w in new])
-        cuts = np.searchsorted(at, starts)
-        raw = ids.tobytes()
-        for w, lo, hi in zip(new, cuts[:-1], cuts[1:], strict=True):
-            known[w] = raw[4 * lo : 4 * hi]
+    def _chunks(self, text: str) -> list[str] | None:
+        if _PLAIN.fullmatch(text) and not _TWO_STOPS.search(text):
+            return text.lower().replace(".", " . ").replace(",", " , ").split()
+        return None if _ODD_SPACE.search(text) else text.split()
+
+    def _learn(self, chunks: list[str]) -> None:
+        for lo in range(0, len(chunks), CALL_CHUNKS):
+            some = chunks[lo : lo + CALL_CHUNKS]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            at = np.array([o[0] for o in got.offsets], np.int64)
+            cuts = np.searchsorted(at, np.cumsum([0] + [len(c) + 1 for c in some])) * 4
+            raw = np.array(got.ids, "<u4").tobytes()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        words = [t.split() for t in texts]
-        self.learn(words)
-        known = self.known
-        for text, parts in zip(texts, words, strict=True):
-            if _ODD_SPACE.search(text):
+        parts = [self._chunks(t) for t in texts]
+        every = set().union(*[p for p in parts if p])
+        if len(self.known) + len(every - self.known.keys()) > KNOWN_CHUNKS:
+            self.known.clear()
+        self._learn(list(every - self.known.keys()))
+        look = self.known.__getitem__
+        for text, part in zip(texts, parts, strict=True):
+            if part is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                yield b"".join(map(known.__getitem__, parts))
+                yield b"".join(map(look, part))
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that what it knows serves the next task too."""
+    return Encoder(path)
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def pieces(docs: DataFrame, keys: Sequence[str], path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -92,10 +99,10 @@ def pieces(docs: DataFrame, keys: Sequence[str], path: str, capacity: int = CAPA
     names = [*keys, "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(lo, DOCS_AT_ONCE)
                 owner, out = [], []
                 for i, ids in enumerate(encoder.encode([t or "" for t in part.column(len(keys)).to_pylist()])):
                     ids += end
