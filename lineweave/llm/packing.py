@@ -24,8 +24,9 @@ from lineweave.session import cut
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Bounds of what a worker holds: chunks with their ids, chunks encoded in one call, documents handled at once.
-KNOWN_CHUNKS = 400_000
+#: Bounds of what a worker holds: chunks with their ids, length of those kept longest, chunks encoded in one call, documents handled at once.
+KNOWN_CHUNKS = 500_000
+SHORT_CHUNK = 6
 CALL_CHUNKS = 10_000
 DOCS_AT_ONCE = 200
 
@@ -40,35 +41,58 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary never joins text over white space, so the ids of a text are those of its chunks. Chunks met before are
-    looked up, all new chunks of a batch are encoded together. At most KNOWN_CHUNKS are held; then it starts afresh."""
+    looked up, all new chunks of a batch are encoded together: plain words, each of which is one word of the vocabulary's
+    own splitting, without its normalizer, and all others with it. At most KNOWN_CHUNKS are held; then only short ones stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _split(self, text: str, plain: list[str], other: list[str]) -> list[str] | None:
+        """The chunks of a text in order, also added to ``plain`` or ``other``; None if it must be encoded as a whole."""
         if _PLAIN.fullmatch(text) and not _TWO_STOPS.search(text):
-            return text.lower().replace(".", " . ").replace(",", " , ").split()
-        return None if _ODD_SPACE.search(text) else text.split()
-
-    def _learn(self, chunks: list[str]) -> None:
+            words = text.lower().replace(".", " . ").replace(",", " , ").split()
+            plain += words
+            return words
+        if _ODD_SPACE.search(text):
+            return None
+        if "\n" not in text:
+            words = text.split()
+            other += words
+            return words
+        return [w for line in text.split("\n") for w in self._split(line, plain, other)]
+
+    def _learn(self, chunks: list[str], plain: bool) -> None:
+        tokenizer = self.plain if plain else self.tokenizer
         for lo in range(0, len(chunks), CALL_CHUNKS):
             some = chunks[lo : lo + CALL_CHUNKS]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            at = np.array([o[0] for o in got.offsets], np.int64)
-            cuts = np.searchsorted(at, np.cumsum([0] + [len(c) + 1 for c in some])) * 4
-            raw = np.array(got.ids, "<u4").tobytes()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            got = tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            if plain:
+                cuts = np.concatenate([[0], np.flatnonzero(self.word_end[ids]) + 1])
+            else:
+                cuts = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), np.cumsum([0] + [len(c) + 1 for c in some]))
+            cuts, raw = (cuts * 4).tolist(), ids.tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        parts = [self._chunks(t) for t in texts]
-        every = set().union(*[p for p in parts if p])
-        if len(self.known) + len(every - self.known.keys()) > KNOWN_CHUNKS:
-            self.known.clear()
-        self._learn(list(every - self.known.keys()))
+        plain: list[str] = []
+        other: list[str] = []
+        parts = [self._split(t, plain, other) for t in texts]
+        if len(self.known) > KNOWN_CHUNKS:
+            self.known = {c: ids for c, ids in self.known.items() if len(c) <= SHORT_CHUNK}
+        self._learn(list(set(plain).difference(self.known)), True)
+        self._learn(list(set(other).difference(self.known)), False)
         look = self.known.__getitem__
         for text, part in zip(texts, parts, strict=True):
             if part is None:
