@@ -25,7 +25,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of what a worker holds: chunks with their ids, length of those kept longest, chunks encoded in one call, documents handled at once.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 900_000
 SHORT_CHUNK = 6
 CALL_CHUNKS = 10_000
 DOCS_AT_ONCE = 200
@@ -34,7 +34,7 @@ DOCS_AT_ONCE = 200
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Texts in which every word may be put into lower case and cut off from a single stop or comma, as the vocabulary does.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ., \n]*")
-_TWO_STOPS = re.compile("[.,][.,]")
+_TWO_STOPS = ("..", ".,", ",.", ",,")
 
 
 class Encoder:
@@ -60,7 +60,7 @@ class Encoder:
 
     def _split(self, text: str, plain: list[str], other: list[str]) -> list[str] | None:
         """The chunks of a text in order, also added to ``plain`` or ``other``; None if it must be encoded as a whole."""
-        if _PLAIN.fullmatch(text) and not _TWO_STOPS.search(text):
+        if _PLAIN.fullmatch(text) and not any(two in text for two in _TWO_STOPS):
             words = text.lower().replace(".", " . ").replace(",", " , ").split()
             plain += words
             return words
