@@ -1,6 +1,6 @@
 """Imports every operator of this package, so that its query is registered."""
 
-from lineweave.llm import embedding_dedup, html_text, lang_id, line_dedup, mixing, ngram_join, packing, winnowing  # noqa: F401
+from lineweave.llm import embedding_dedup, html_text, lang_id, line_dedup, mixing, ngram_join, packing, toxicity, winnowing  # noqa: F401
 from lineweave.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
