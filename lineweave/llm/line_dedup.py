@@ -44,7 +44,9 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     A rank is null where the first 2^h lines occur nowhere else, or reach past a line that is not repeated, a blank line
     or the end of the document. The last rank is at the greatest power of two up to ``depth``."""
     lines = _lines(docs)
-    at = cut(lines.join(_ranked(lines, ["a", "b"], "r0"), ["a", "b"]).drop("a", "b"))
+    # Rows that come twice are one document.
+    at = lines.join(_ranked(lines, ["a", "b"], "r0"), ["a", "b"]).drop("a", "b")
+    at = cut(at.dropDuplicates(["doc_id", "th", "k"]))
     doc = W.partitionBy("doc_id", "th").orderBy("k")
     h = 0
     while 2 << h <= depth:
