@@ -2,7 +2,7 @@
 
 Each paragraph has points for its length and its commas; its parent gets them all, the ancestors above ever smaller shares.
 A container's score is discounted by its link density. The best container is kept, with those siblings that score well
-beside it; an article or main element around it stands for it. Menus, headers, footers, sidebars, notices, adverts, forms,
+beside it; an article or main element around it, or the best one inside it, stands for it. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out by element, role and class."""
 
 from __future__ import annotations
@@ -182,10 +182,18 @@ def _roots(tree: _Tree) -> set[int]:
             if tree.name[up] == wanted:
                 return {up}
             up = tree.parent[up]
+    inside = [False] * n
+    for i in range(best + 1, n):
+        inside[i] = tree.parent[i] == best or inside[tree.parent[i]]
+    marked = [i for i in range(n) if inside[i] and tree.name[i] in ("article", "main") and score[i] > 0]
+    if marked:
+        best = max(marked, key=lambda i: (score[i], -i))
+    least = SIBLING_SHARE * score[best]
+    if marked:
+        return {i for i in marked if tree.parent[i] == tree.parent[best] and score[i] >= least}
     roots = {best}
     if tree.name[best] in ("body", "html") or best == 0:
         return roots
-    least = SIBLING_SHARE * score[best]
     for i in range(1, n):
         if i != best and tree.parent[i] == tree.parent[best] and not tree.dropped[i]:
             alone = tree.name[i] in ("p", "pre", "blockquote") or re.fullmatch("h[1-6]", tree.name[i])
