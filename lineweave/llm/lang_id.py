@@ -26,7 +26,7 @@ PIECE_BYTES = 10
 WORD_BYTES = 24
 ROUNDS = 3
 SMOOTHING = 0.05
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

@@ -25,7 +25,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of what a worker holds: chunks with their ids, length of those kept longest, chunks encoded in one call, documents handled at once.
-KNOWN_CHUNKS = 900_000
+KNOWN_CHUNKS = 600_000
 SHORT_CHUNK = 6
 CALL_CHUNKS = 10_000
 DOCS_AT_ONCE = 200

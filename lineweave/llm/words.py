@@ -1,7 +1,7 @@
 """Words and word n-grams of many texts at once, as 64-bit hashes, with numpy.
 
 A word is a run of bytes that are not ASCII white space. The texts of a batch are laid end to end with line feeds
-between them, so one pass over the bytes serves all of them; batches are cut to about a megabyte first."""
+between them, so one pass over the bytes serves all of them; batches are cut to half a megabyte first."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 
 
