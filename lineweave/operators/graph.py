@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         right = pick.select(F.col("u").alias("v"), F.col("rep").alias("rv"))
         live = cut(_simple(live.join(left, "u").join(right, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))))
     else:
-        raise RuntimeError("components did not settle")
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds; {live.count()} edges are left")
     if not picks:
         return live.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     root = picks[-1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -146,8 +147,8 @@ def sample_weights(df: DataFrame, mode: str = "none", weight: str = "weight", la
     return df.join(extra, label, "left").withColumn("sample_weight", w * F.coalesce("_cw", F.lit(1.0))).drop("_cw")
 
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON_1 = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)
+#: Cumulative probabilities of a Poisson variable with mean 1, up to the last one a 32-bit number in [0, 1) can reach.
+POISSON_1 = tuple(round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 11) for k in range(13))
 
 
 def bootstrap_ci(report: DataFrame, key: Sequence[str], b: int = 200, seed: int = 0,

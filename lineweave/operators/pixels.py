@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PITCH = 1 << 20          # row pitch of the row-major key; wider than any tile
+PITCH = 1 << 31          # row pitch of the row-major key; no 32-bit column reaches the next row
 BAND = 128               # rows per band
 
 # A kernel is {dy: k}: the offsets (dy, -k..k).

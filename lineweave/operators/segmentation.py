@@ -84,12 +84,14 @@ def group_threshold_search(df: DataFrame, group: str, thresholds: Sequence[float
     cells = threshold_counts(df, thresholds, tol, [group], penalize_oob)
     sums = ["hit_pred", "n_pred", "hit_truth", "n_truth", "inter", "oob"]
     ts = F.array(*[F.lit(float(t)) for t in thresholds])
-    labels = cells.select(group).distinct().agg(F.array_sort(F.collect_set(group)).alias("g"))
     n = len(thresholds)
+    names = sorted(r[0] for r in cells.select(group).distinct().collect())      # one row for each group; the search has n ** groups choices
+    if n ** len(names) >= 1 << 62:
+        raise ValueError(f"{n} thresholds for {len(names)} groups are too many choices")
     # Choice number c picks for the i-th group the threshold at digit i of c in base n.
-    combos = labels.withColumn("c", F.explode(F.sequence(F.lit(0), F.pow(F.lit(n), F.size("g")).cast("int") - 1))).select(
-        "c", F.posexplode("g").alias("i", group)).withColumn(
-        "t", F.get(ts, F.pmod(F.floor(F.col("c") / F.pow(F.lit(float(n)), F.col("i"))), F.lit(n)).cast("int")))
+    digit = F.array(*[F.struct(F.lit(g).alias(group), F.expr(f"cast(pmod(c div {n ** i}L, {n}) as int)").alias("d")) for i, g in enumerate(names)])
+    combos = df.sparkSession.range(n ** len(names) if names else 0).select(F.col("id").alias("c"))
+    combos = combos.select("c", F.explode(digit).alias("s")).select("c", f"s.{group}", F.get(ts, F.col("s.d")).alias("t")) if names else cells.select(F.lit(0).cast("bigint").alias("c"), group, "t").where("false")
     picked = combos.join(cells, [group, "t"]).groupBy("c").agg(
         *[F.sum(s).alias(s) for s in sums], F.array_sort(F.collect_list(F.struct(group, "t"))).alias("choice"))
     area = invalid_area.select(F.col("n").alias("_area"), F.lit(1).alias("_k"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lineweave.operators.graph import components
+from lineweave.operators.ranks import running_total
 from lineweave.session import cut, is_empty
 
 
@@ -167,48 +168,30 @@ def greedy_match(truth: DataFrame, pred: DataFrame, r: float, by: Sequence[str],
     spans = taken[0]
     for more in taken[1:]:
         spans = spans.unionByName(more)
-    dealt = spans.select(*by, F.col("o.g").alias("g"), F.col("o.p").alias("p"), F.sqrt("o.d2").alias("distance"),
-                         "og", "op", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))).alias("i"))
+    spans = spans.select(*by, F.col("o.g").alias("g"), F.col("o.p").alias("p"), F.sqrt("o.d2").alias("distance"), "og", "op", "k")
     t, p = _ranked_places(truth, by, gt_id), _ranked_places(pred, by, pred_id)
     t_row = t.select(*by, F.col("place").alias("g"), F.col("pos").alias("_pg"), F.col("key").alias(gt_id))
     p_row = p.select(*by, F.col("place").alias("p"), F.col("pos").alias("_pp"), F.col("key").alias("pred_id"))
-    return (
-        dealt.withColumn("_pg", F.col("og") + F.col("i")).withColumn("_pp", F.col("op") + F.col("i"))
-        .join(t_row, [*by, "g", "_pg"]).join(p_row, [*by, "p", "_pp"])
-        .select(*by, gt_id, "pred_id", "distance")
-    )
+    # A span hands the truth rows og + 1 .. og + k of its place the prediction rows op + 1 .. op + k.
+    mine = t_row.join(spans, [*by, "g"]).where((F.col("_pg") > F.col("og")) & (F.col("_pg") <= F.col("og") + F.col("k")))
+    return mine.withColumn("_pp", F.col("_pg") - F.col("og") + F.col("op")).join(p_row, [*by, "p", "_pp"]).select(*by, gt_id, "pred_id", "distance")
 
 
 def _places(df: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
     return df.groupBy(*by, "x", "y").agg(F.min(id_col).alias("key"), F.count(F.lit(1)).alias("n"))
 
 
-ROWS_PER_SLICE = 50_000
-
-
 def _ranked_places(df: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
-    """Number the rows of each place in (numeric) id order as ``pos`` = 1..n; ``place`` is its least id.
+    """Number the rows of each place in id order as ``pos`` = 1..n; ``place`` is its least id.
 
-    A crowded place is cut into id ranges that are numbered apart and then shifted, so it is never
-    sorted by one task."""
+    Ids are only compared, so any orderable type will do. A place of one row needs no ranking; crowded ones are ranked over
+    range slices, never sorted by one task."""
     place = [*by, "x", "y"]
-    one = df.groupBy(*place).agg(F.min(id_col).alias("place"), F.max(id_col).alias("_hi"), F.count(F.lit(1)).alias("n"))
-    slices = F.ceil(F.col("n") / F.lit(ROWS_PER_SLICE))
-    width = F.col("_hi") - F.col("place") + F.lit(1)
-    rows = (
-        df.select(*place, F.col(id_col).alias("key"))
-        .join(one, place)
-        .withColumn("_s", F.floor((F.col("key") - F.col("place")) * slices / width))
-        .drop("_hi")
-    )
-    before = (
-        rows.groupBy(*place, "_s").agg(F.count(F.lit(1)).alias("_c"))
-        .select(*place, "_s", F.coalesce(
-            F.sum("_c").over(W.partitionBy(*place).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0)).alias("_before"))
-    )
-    pos = F.row_number().over(W.partitionBy(*place, "_s").orderBy("key")) + F.col("_before")
-    return rows.join(before, [*place, "_s"]).select(*place, "key", "place", "n", pos.alias("pos"))
+    one = df.groupBy(*place).agg(F.min(id_col).alias("place"), F.count(F.lit(1)).alias("n"))
+    rows = df.select(*place, F.col(id_col).alias("key")).join(one, place)
+    lone = rows.where("n = 1").withColumn("pos", F.lit(1).cast("bigint"))
+    crowd = running_total(rows.where("n > 1").withColumn("_one", F.lit(1).cast("bigint")), "_one", ["key"], place)
+    return lone.unionByName(crowd.select(*place, "key", "place", "n", F.col("upto").alias("pos")))
 
 
 # ---------------------------------------------------------------- merged groups

@@ -13,7 +13,7 @@ from lineweave.plans.raster import DEG
 from lineweave.session import cut
 
 PIX = with_fx("fx_pixels")
-PTS = f"{DEG}, pts AS (SELECT tile_id, CAST(y AS BIGINT) * 1048576 + x AS id, x, y FROM deg WHERE deg >= 3)"
+PTS = f"{DEG}, pts AS (SELECT tile_id, CAST(y AS BIGINT) * {P.PITCH} + x AS id, x, y FROM deg WHERE deg >= 3)"
 
 
 def _points(px):

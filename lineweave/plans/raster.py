@@ -155,7 +155,7 @@ def comp_sql(src: str, out: str, diagonal: bool = True, pre: str = "") -> str:
     """Least reachable row-major position of each pixel. ``pre`` keeps the helper names apart."""
     near = ("b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1" if diagonal
             else "abs(b.y - a.y) + abs(b.x - a.x) = 1")
-    return f"""{pre}k AS (SELECT *, CAST(y AS BIGINT) * 1048576 + x AS pos FROM {src}),
+    return f"""{pre}k AS (SELECT *, CAST(y AS BIGINT) * {P.PITCH} + x AS pos FROM {src}),
 {pre}e AS (SELECT a.tile_id, a.pos AS u, b.pos AS v FROM {pre}k a JOIN {pre}k b ON a.tile_id = b.tile_id AND a.pos <> b.pos AND {near}),
 {pre}r(tile_id, pos, root) AS (SELECT tile_id, pos, pos FROM {pre}k
   UNION SELECT e.tile_id, e.v, r.root FROM {pre}r r JOIN {pre}e e ON e.tile_id = r.tile_id AND e.u = r.pos WHERE r.root < e.v),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineweave.functions import scalars as X
 from lineweave.schemas import IMAGE_SUFFIXES, PREDICTION_MINIMUM
+from lineweave.sources import rasters
 from lineweave.session import is_empty, require_columns
 
 
@@ -31,19 +35,65 @@ def list_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return named.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*IMAGE_SUFFIXES))
 
 
+OWN_SUFFIXES = ("png", "tif", "tiff")
+
+
+def _suffix(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, r"\."), -1))
+
+
+def _decoded(spark: SparkSession, path: str, glob: str) -> list[tuple[DataFrame, Callable]]:
+    """The image files of a folder by reader: ours for PNG and TIFF, whose 16-bit values it keeps, Spark's for the others."""
+    found = {r["s"] for r in list_images(spark, path, glob).select(_suffix(F.col("name")).alias("s")).distinct().collect()} & set(IMAGE_SUFFIXES)
+    parts = []
+    if found & set(OWN_SUFFIXES):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+        parts.append((files.where(_suffix(F.col("path")).isin(*OWN_SUFFIXES)), lambda r: rasters.decode(r.content)))
+    if found - set(OWN_SUFFIXES):
+        images = spark.read.format("image").option("pathGlobFilter", glob).load(path).select(F.col("image.origin").alias("path"), "image.*").drop("origin")
+        parts.append((images.where(_suffix(F.col("path")).isin(*sorted(found - set(OWN_SUFFIXES)))), _from_image_source))
+    return parts
+
+
+def _from_image_source(r) -> np.ndarray:
+    if r.nChannels not in (1, 3, 4):
+        raise ValueError("unreadable image")
+    pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+    return rasters.gray(pixels if r.nChannels == 1 else pixels[..., 2::-1])        # the source stores blue, green, red
+
+
+def _per_image(spark: SparkSession, path: str, glob: str, columns: str, rows: Callable[[np.ndarray], dict]) -> DataFrame:
+    outs = []
+    for files, read in _decoded(spark, path, glob):
+        def run(batches, read=read):
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    try:
+                        values = read(r)
+                    except ValueError as why:
+                        raise ValueError(f"cannot read image {r.path}: {why}") from why
+                    name = r.path.rsplit("/", 1)[-1]
+                    yield pd.DataFrame({"tile_id": name.rsplit(".", 1)[0], **rows(values)})
+
+        outs.append(files.mapInPandas(run, f"tile_id string, {columns}"))
+    if not outs:
+        return spark.createDataFrame([], f"tile_id string, {columns}")
+    return reduce(DataFrame.unionByName, outs)
+
+
 def read_pixels(spark: SparkSession, path: str, threshold: int | None = None, glob: str = "*") -> DataFrame:
-    """``(tile_id, y, x, v)`` from single-band 8-bit images; with ``threshold`` only brighter pixels are kept."""
-    images = spark.read.format("image").option("pathGlobFilter", glob).load(path).select("image.*").where("nChannels = 1")
-    lines = images.select(stem(F.col("origin")).alias("tile_id"), "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    digits = lines.select("tile_id", "y", "width", F.hex(F.expr("substring(data, y * width + 1, width)")).alias("h"))
-    rows = digits.select("tile_id", "y", "h", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    out = rows.select("tile_id", "y", "x", F.conv(F.expr("substring(h, 2 * x + 1, 2)"), 16, 10).cast("int").alias("v"))
-    return out if threshold is None else out.where(F.col("v") > threshold)
+    """``(tile_id, y, x, v)`` of every pixel; with ``threshold`` only brighter ones are made into rows.
+
+    Colours become gray values, 16-bit values stay whole, and an image that cannot be read is an error."""
+    def rows(values: np.ndarray) -> dict:
+        y, x = np.nonzero(values > threshold) if threshold is not None else np.indices(values.shape).reshape(2, -1)
+        return {"y": y.astype("int32"), "x": x.astype("int32"), "v": values[y, x].astype("int32")}
+
+    return _per_image(spark, path, glob, "y int, x int, v int", rows)
 
 
 def image_sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    return spark.read.format("image").option("pathGlobFilter", glob).load(path).select(
-        stem(F.col("image.origin")).alias("tile_id"), "image.width", "image.height")
+    return _per_image(spark, path, glob, "width int, height int", lambda v: {"width": [v.shape[1]], "height": [v.shape[0]]})
 
 
 def read_manifest(spark: SparkSession, path: str, required: Sequence[str] = ("relpath", "label", "split")) -> DataFrame:
@@ -111,6 +161,30 @@ def read_annotations(spark: SparkSession, path: str, classes: Sequence[str] = ("
     return out.where(F.col("true_label").isin(*classes) & F.col("p").isNotNull()).select("file", "image_path", "slot_width", "slot_height", "true_label", "p.x", "p.y")
 
 
+def _json_files(spark: SparkSession, path: str, schema: str, size: Column, key: Column) -> DataFrame:
+    """One row for each file of a folder, also for empty and malformed ones."""
+    # Scans pass over files of no length, so the names come from Spark's own file index.
+    names = spark.read.format("binaryFile").load(path).inputFiles()
+    one_form = F.regexp_replace("path", "^([a-z]+):/+", "$1:/")
+    listed = spark.createDataFrame([(n,) for n in names], "path string").select(one_form.alias("path"))
+    parsed = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=True).select(
+        F.col("_metadata.file_path").alias("path"), size.alias("n"), F.col("_corrupt_record").isNotNull().alias("bad"))
+    parsed = parsed.withColumn("path", one_form)
+    out = listed.join(parsed.groupBy("path").agg(F.sum("n").alias("n"), F.max("bad").alias("bad")), "path", "left")
+    return out.select(key.alias("file"), F.coalesce("n", F.lit(0)).cast("int").alias("n_rows"), F.coalesce("bad", F.lit(True)).alias("corrupt"))
+
+
+def annotation_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, n_rows, corrupt)``: an image without annotations is there with 0 rows; an empty or broken file is corrupt."""
+    return _json_files(spark, path, "annotations array<string>", F.greatest(F.size(F.coalesce("annotations", F.array())), F.lit(0)), F.col("path"))
+
+
+def detection_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, n_rows, corrupt)`` by stem, like ``read_detection_json``, with the files that hold no detection."""
+    return _json_files(spark, path, "detections array<string>", F.greatest(F.size(F.coalesce("detections", F.array())), F.lit(0)),
+                       F.regexp_replace(stem(F.col("path")), "_predictions$", ""))
+
+
 def read_detection_json(spark: SparkSession, path: str) -> DataFrame:
     """Rows of ``{"detections": [...]}`` files keyed by file stem (without ``_predictions``)."""
     schema = "detections array<struct<type string, x double, y double, probs map<string, double>>>"
@@ -152,7 +226,9 @@ def resolve_config(args: dict, config: DataFrame, defaults: dict) -> DataFrame:
         saved = F.col(name) if name in config.columns else F.lit(None)
         return F.coalesce(saved, F.lit(defaults[name]))
 
-    return config.limit(1).select(*[cell(n).alias(n) for n in defaults])
+    if len(config.limit(2).collect()) > 1:
+        raise ValueError("more than one row of settings")
+    return config.select(*[cell(n).alias(n) for n in defaults])
 
 
 def read_split_file(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
