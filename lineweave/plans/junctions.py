@@ -24,12 +24,12 @@ arm AS (SELECT tile_id AS pid, comp_id, count(*) AS area, sqrt(max(d2)) - sqrt(m
 ok AS (SELECT *, mx / sqrt(mx * mx + my * my) AS ux, my / sqrt(mx * mx + my * my) AS uy FROM arm WHERE area >= 2 AND span >= 1.0 AND far AND sqrt(mx * mx + my * my) > 1e-6)"""
 
 
-@query("ring_arms", RPX + f", {ARMS} SELECT pid, CAST(count(*) AS INT) AS n_arms, sum(area) AS area, round(sum(ux), 4) + 0 AS ux, round(sum(uy), 4) + 0 AS uy FROM ok GROUP BY 1")
+@query("ring_arms", RPX + f", {ARMS} SELECT p.id || ':' || p.tile_id AS pid, CAST(count(ok.area) AS INT) AS n_arms, coalesce(sum(area), 0) AS area, round(coalesce(sum(ux), 0.0), 4) + 0 AS ux, round(coalesce(sum(uy), 0.0), 4) + 0 AS uy FROM pts p LEFT JOIN ok ON ok.pid = p.id || ':' || p.tile_id GROUP BY 1")
 def ring_arms(spark, sf):
     px = derived(spark, sf, "fx_pixels")
-    out = A.ring_arms(px, _points(px), [5], RULES).where(F.size("arms") > 0)
-    arms = out.select(F.concat_ws(":", F.col("id").cast("string"), F.col("tile_id").cast("string")).alias("pid"), F.size("arms").alias("n_arms"), F.explode("arms").alias("a"))
-    return arms.groupBy("pid", "n_arms").agg(F.sum("a.area").alias("area"), (F.round(F.sum("a.ux"), 4) + 0.0).alias("ux"), (F.round(F.sum("a.uy"), 4) + 0.0).alias("uy"))
+    out = A.ring_arms(px, _points(px), [5], RULES)
+    arms = out.select(F.concat_ws(":", F.col("id").cast("string"), F.col("tile_id").cast("string")).alias("pid"), F.size("arms").alias("n_arms"), F.explode_outer("arms").alias("a"))
+    return arms.groupBy("pid", "n_arms").agg(*[(F.round(F.coalesce(F.sum(f"a.{c}"), F.lit(0)), 4) + 0).alias(c) for c in ("area", "ux", "uy")])
 
 
 @query("local_geometry", RPX + f""", {ARMS}, n AS (SELECT pid, count(*) AS n FROM ok GROUP BY 1),
@@ -146,7 +146,7 @@ def _two_sources(spark, sf):
     return cut(d.where("id % 2 = 0")), cut(d.where("id % 2 = 1"))
 
 
-SRC = """dets AS (SELECT scene_id % 15 AS tile_id, id, x % 192 AS x, y % 192 AS y, cnn_pred AS label, score FROM fx_detections WHERE cnn_pred <> 'N'),
+SRC = """dets AS (SELECT CAST(floor(scene_id / 10) AS INT) AS tile_id, id, x % 192 AS x, y % 192 AS y, cnn_pred AS label, score FROM fx_detections WHERE cnn_pred <> 'N'),
 gr AS (SELECT * FROM dets WHERE id % 2 = 0), te AS (SELECT * FROM dets WHERE id % 2 = 1),
 un AS (SELECT *, tile_id || ':' || label AS tl FROM gr UNION ALL SELECT *, tile_id || ':' || label FROM te WHERE NOT EXISTS (
   SELECT 1 FROM gr WHERE gr.tile_id = te.tile_id AND (gr.x - te.x) * (gr.x - te.x) + (gr.y - te.y) * (gr.y - te.y) <= 4)),"""
@@ -221,7 +221,7 @@ def geometric_sweep(spark, sf):
     from lineweave.operators import rings as R
     from lineweave.operators import sweeps as W
 
-    rows = derived(spark, sf, "fx_detections").select((F.col("scene_id") % 15).alias("tile_id"), "id", (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"),
+    rows = derived(spark, sf, "fx_detections").select(F.floor(F.col("scene_id") / 10).cast("int").alias("tile_id"), "id", (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"),
                                                       F.col("xgb_pred").alias("true_label"), F.col("cnn_pred").alias("pred_label"), "branch_count", "max_gap_deg")
     table = R.collinearity_table(derived(spark, sf, "fx_pixels"), rows.select("tile_id", "id", "x", "y"), (12, 16, 20, 25))
     wide = table.groupBy("tile_id", "id").agg(*[F.max(F.when(F.col("radius") == r, F.col(c))).alias(f"{c}_{r}") for r in (12, 16, 20, 25) for c in ("n_arms", "deviation")])

@@ -76,14 +76,14 @@ def collinearity_features(spark, sf):
     return out.withColumns({f"r{r}": F.round(f"r{r}", 4) for r in R.FEATURE_RADII})
 
 
-# Detections folded onto the pixel tiles.
+# Ten scenes share a pixel tile; places are folded into its side.
 def _dets(spark, sf):
     d = derived(spark, sf, "fx_detections")
-    return d.select((F.col("scene_id") % 15).alias("tile_id"), "id", (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"),
+    return d.select(F.floor(F.col("scene_id") / 10).cast("int").alias("tile_id"), "id", (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"),
                     F.col("cnn_pred").alias("label"), F.col("score").alias("p_t"))
 
 
-DETS = "dets AS (SELECT scene_id % 15 AS tile_id, id, x % 192 AS x, y % 192 AS y, cnn_pred AS label, score AS p_t FROM fx_detections)"
+DETS = "dets AS (SELECT CAST(floor(scene_id / 10) AS INT) AS tile_id, id, x % 192 AS x, y % 192 AS y, cnn_pred AS label, score AS p_t FROM fx_detections)"
 SNAP = """snap AS (SELECT d.tile_id, d.id, arg_min(f.x, ((f.x - d.x) * (f.x - d.x) + (f.y - d.y) * (f.y - d.y)) * 1000000 + f.y * 1000 + f.x) AS x,
   arg_min(f.y, ((f.x - d.x) * (f.x - d.x) + (f.y - d.y) * (f.y - d.y)) * 1000000 + f.y * 1000 + f.x) AS y
   FROM {src} d JOIN fx_pixels f ON f.tile_id = d.tile_id AND f.x BETWEEN d.x - {r} AND d.x + {r} AND f.y BETWEEN d.y - {r} AND d.y + {r} GROUP BY 1, 2)"""

@@ -68,10 +68,10 @@ def nms(spark, sf):
 
 def clusters_sql(points: str, within: str, by: str = "scene_id") -> str:
     """Least reachable id of each point."""
-    return f"""link AS (SELECT a.id AS u, b.id AS v FROM {points} a JOIN {points} b
+    return f"""link AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM {points} a JOIN {points} b
                 ON a.{by} = b.{by} AND a.id <> b.id AND {D2} {within}),
-reach(id, root) AS (SELECT id, id FROM {points} UNION SELECT l.v, r.root FROM reach r JOIN link l ON l.u = r.id),
-cl AS (SELECT id, min(root) AS cluster_id FROM reach GROUP BY id)"""
+reach(id, root) AS (SELECT id, id FROM {points} UNION SELECT l.v, r.root FROM reach r JOIN link l ON l.u = r.id WHERE r.root < l.v),
+cl AS MATERIALIZED (SELECT id, min(root) AS cluster_id FROM reach GROUP BY id)"""
 
 
 @query("radius_clusters", with_fx("fx_detections", recursive=True) + ", " + clusters_sql("fx_detections", "<= 400") + """

@@ -29,14 +29,14 @@ def degree_map(spark, sf):
 
 
 @query("neighbour_offsets", with_fx("fx_pixels") + """
-SELECT p.tile_id, p.y, p.x, CAST(count(*) AS INT) AS deg,
-       string_agg((q.y - p.y) || ':' || (q.x - p.x), ' ' ORDER BY q.y, q.x) AS scan
-FROM fx_pixels p JOIN fx_pixels q
+SELECT p.tile_id, p.y, p.x, CAST(count(q.x) AS INT) AS deg,
+       coalesce(string_agg((q.y - p.y) || ':' || (q.x - p.x), ' ' ORDER BY q.y, q.x), '') AS scan
+FROM fx_pixels p LEFT JOIN fx_pixels q
   ON q.tile_id = p.tile_id AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1
  AND NOT (q.x = p.x AND q.y = p.y)
 GROUP BY 1, 2, 3""")
 def neighbour_offsets(spark, sf):
-    d = P.degree_map(derived(spark, sf, "fx_pixels"), neighbours=True).where("deg > 0")
+    d = P.degree_map(derived(spark, sf, "fx_pixels"), neighbours=True)
     text = F.transform("nbrs", lambda o: F.concat_ws(":", o["dy"].cast("string"), o["dx"].cast("string")))
     return d.select("tile_id", "y", "x", "deg", F.array_join(text, " ").alias("scan"))
 
@@ -227,11 +227,11 @@ def base_proposals(spark, sf):
 
 @query("topology_gate", with_fx("fx_pixels", "fx_detections") + f""", {DEG}, {_offsets(P.ellipse(5))},
 m AS (SELECT DISTINCT tile_id, y + dy AS y, x + dx AS x FROM deg CROSS JOIN k WHERE deg >= 3)
-SELECT id, d.scene_id % 15 AS tile_id, d.x % 192 AS x, d.y % 192 AS y FROM fx_detections d
-WHERE EXISTS (SELECT 1 FROM m WHERE m.tile_id = d.scene_id % 15 AND m.y = d.y % 192 AND m.x = d.x % 192)""")
+SELECT id, CAST(floor(d.scene_id / 10) AS INT) AS tile_id, d.x % 192 AS x, d.y % 192 AS y FROM fx_detections d
+WHERE EXISTS (SELECT 1 FROM m WHERE m.tile_id = CAST(floor(d.scene_id / 10) AS INT) AND m.y = d.y % 192 AND m.x = d.x % 192)""")
 def topology_gate(spark, sf):
     d = derived(spark, sf, "fx_detections").select(
-        "id", (F.col("scene_id") % 15).alias("tile_id"), (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"))
+        "id", F.floor(F.col("scene_id") / 10).cast("int").alias("tile_id"), (F.col("x") % 192).alias("x"), (F.col("y") % 192).alias("y"))
     return C.topology_gate(derived(spark, sf, "fx_pixels"), d, 2)
 
 

@@ -154,8 +154,10 @@ def confusion_determinant(spark, sf):
     return _rounded(K.determinant(K.normalized_confusion(M.confusion_cells(report(spark, sf)))), "det")
 
 
-SHARES = """sh AS (SELECT scene_id, count(*) FILTER (WHERE xgb_pred = 'T') / count(*) AS q1, count(*) FILTER (WHERE xgb_pred = 'Y') / count(*) AS q2,
-  count(*) FILTER (WHERE xgb_pred = 'X') / count(*) AS q3 FROM (SELECT * FROM fx_detections WHERE xgb_pred <> 'N' AND (id * 7 + scene_id * 13) % 11 > scene_id % 11) GROUP BY 1)"""
+# Class shares that differ by scene: a scene-dependent part of the rows is called T.
+SHIFTED = "CASE WHEN (id * 7 + scene_id * 13) % 11 > scene_id % 11 THEN xgb_pred ELSE 'T' END"
+SHARES = f"""sh AS (SELECT scene_id, count(*) FILTER (WHERE xgb_pred = 'T') / count(*) AS q1, count(*) FILTER (WHERE xgb_pred = 'Y') / count(*) AS q2,
+  count(*) FILTER (WHERE xgb_pred = 'X') / count(*) AS q3 FROM (SELECT * EXCLUDE (xgb_pred), {SHIFTED} AS xgb_pred FROM fx_detections) WHERE xgb_pred <> 'N' GROUP BY 1)"""
 
 
 def _face(i, j):
@@ -181,7 +183,7 @@ o AS (SELECT scene_id, CASE WHEN least(p1, p2, p3) >= -1e-10 THEN greatest(p1, 0
 SELECT scene_id, round(f1 / (f1 + f2 + f3), 5) AS cal_t, round(f2 / (f1 + f2 + f3), 5) AS cal_y, round(f3 / (f1 + f2 + f3), 5) AS cal_x FROM o""")
 def calibrated_fractions(spark, sf):
     c = K.matrix_of(K.normalized_confusion(M.confusion_cells(report(spark, sf))))
-    d = derived(spark, sf, "fx_detections").where("xgb_pred <> 'N' AND (id * 7 + scene_id * 13) % 11 > scene_id % 11")
+    d = derived(spark, sf, "fx_detections").withColumn("xgb_pred", F.expr(SHIFTED)).where("xgb_pred <> 'N'")
     n = F.count(F.lit(1))
     q = d.groupBy("scene_id").agg(*[(F.count_if(F.col("xgb_pred") == k) / n).alias(f"q{k}") for k in "TYX"])
     out = K.calibrated_fractions(q, ["qT", "qY", "qX"], c, ["cal_t", "cal_y", "cal_x"])
@@ -236,13 +238,14 @@ def bootstrap_ci(spark, sf):
     return _rounded(M.bootstrap_ci(d, ["id"], b=20, seed=7), "median", "lo", "hi")
 
 
-FRACTIONS = """fr AS (SELECT scene_id, count(*) FILTER (WHERE mlp_pred = 'T') AS "n_T", count(*) FILTER (WHERE mlp_pred = 'Y') AS "n_Y",
- count(*) FILTER (WHERE mlp_pred = 'X') AS "n_X", count(*) FILTER (WHERE mlp_pred = 'N') AS "n_N" FROM fx_detections WHERE (id * 7 + scene_id) % 5 > scene_id % 3 GROUP BY 1),
+THINNED = "CASE WHEN (id * 7 + scene_id) % 5 > scene_id % 3 THEN mlp_pred ELSE 'N' END"
+FRACTIONS = f"""fr AS (SELECT scene_id, count(*) FILTER (WHERE mlp_pred = 'T') AS "n_T", count(*) FILTER (WHERE mlp_pred = 'Y') AS "n_Y",
+ count(*) FILTER (WHERE mlp_pred = 'X') AS "n_X", count(*) FILTER (WHERE mlp_pred = 'N') AS "n_N" FROM (SELECT * EXCLUDE (mlp_pred), {THINNED} AS mlp_pred FROM fx_detections) GROUP BY 1),
 fs AS (SELECT fr.*, CASE WHEN "n_T" + "n_Y" + "n_X" > 0 THEN "n_T" / ("n_T" + "n_Y" + "n_X") ELSE 0.0 END AS f_t, center_lat FROM fr LEFT JOIN fx_scenes USING (scene_id))"""
 
 
 def _fractions(spark, sf):
-    d = derived(spark, sf, "fx_detections").where("(id * 7 + scene_id) % 5 > scene_id % 3")
+    d = derived(spark, sf, "fx_detections").withColumn("mlp_pred", F.expr(THINNED))
     return K.scene_fractions(d, "mlp_pred", BY, derived(spark, sf, "fx_scenes"))
 
 
