@@ -63,8 +63,10 @@ def junction_candidates(px: DataFrame, radii: Sequence[int] = (8, 12), min_cross
     return nms(strong, nms_distance, [key], [-F.col("score"), F.col("y"), F.col("x")]).select(key, "id", "x", "y", "cn", "score")
 
 
-def center_stats(patches: DataFrame, size: int = 96, window: int = 48) -> DataFrame:
-    """Six numbers on the middle of a window: lit share, endpoint share, branch share, groups (up to 10), least and greatest angle gap."""
+def center_stats(patches: DataFrame, size: int = 96, window: int = 48, ids: DataFrame | None = None) -> DataFrame:
+    """Six numbers on the middle of a window: lit share, endpoint share, branch share, groups (up to 10), least and greatest angle gap.
+
+    ``ids(patch_id)`` lists all windows; those without a lit pixel get zeros."""
     key = "patch_id"
     win = max(8, min(window, size))
     lo, mid = (size - win) // 2, (size - 1) * 0.5
@@ -80,9 +82,10 @@ def center_stats(patches: DataFrame, size: int = 96, window: int = 48) -> DataFr
     groups = C.components(patches.select(key, "y", "x").where(middle), key=key).groupBy(key).agg(F.countDistinct("comp_id").alias("_g"))
     gaps = F.zip_with("_bins", F.concat(F.slice("_bins", 2, F.size("_bins")), F.slice("_bins", 1, 1)), lambda a, b: F.pmod((b - a) * 12.0, F.lit(360.0)))
     known = (F.col("_n") >= 3) & (F.size("_bins") >= 2)
-    return base.join(groups, key, "left").select(
+    out = base.join(groups, key, "left").select(
         key, "center_fg", "endpoint_frac", "branch_frac", (F.least(F.coalesce("_g", F.lit(0)), F.lit(10)) / 10.0).alias("cc_norm"),
         F.when(known, F.array_min(gaps) / 180.0).otherwise(0.0).alias("min_gap"), F.when(known, F.array_max(gaps) / 360.0).otherwise(0.0).alias("max_gap"))
+    return out if ids is None else ids.select(key).distinct().join(out, key, "left").fillna(0.0)
 
 
 def hog_features(patches: DataFrame, size: int = 96, bins: int = 9, cell: int = 8, block: int = 2) -> DataFrame:

@@ -104,10 +104,11 @@ def snap_to_pixel(points: DataFrame, px: DataFrame, r: int, key: str = "tile_id"
 
     Points with no pixel in reach are left out."""
     at = points.select(key, "id", F.bround("x").cast("int").alias("x"), F.bround("y").cast("int").alias("y"))
-    near = radius_join(px.select(key, "x", "y"), at, r * math.sqrt(2.0) + 1e-9, [key])
+    places = at.select(key, "x", "y").distinct()       # a crowded place looks for its pixel once
+    near = radius_join(px.select(key, "x", "y"), places, r * math.sqrt(2.0) + 1e-9, [key])
     inside = near.where((F.abs(F.col("x_a") - F.col("x_b")) <= r) & (F.abs(F.col("y_a") - F.col("y_b")) <= r))
-    best = inside.groupBy(key, F.col("id_b").alias("id")).agg(F.min(F.struct("d2", "y_a", "x_a")).alias("b"))
-    return best.select(key, "id", F.col("b.x_a").alias("sx"), F.col("b.y_a").alias("sy"))
+    best = inside.groupBy(key, F.col("x_b").alias("x"), F.col("y_b").alias("y")).agg(F.min(F.struct("d2", "y_a", "x_a")).alias("b"))
+    return at.join(best, [key, "x", "y"]).select(key, "id", F.col("b.x_a").alias("sx"), F.col("b.y_a").alias("sy"))
 
 
 def first_three_arm(table: DataFrame, radii: Sequence[int], key: str = "tile_id") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lineweave.operators.ranks import running_total, unit_hash
 from lineweave.session import cut
@@ -46,11 +47,18 @@ def balance_weights(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def weighted_resample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` draws with replacement -> the rows drawn, with ``draw``.
 
-    Rows own intervals of the running weight; draws are points. Both are cut into n bins and met by an equi-join."""
-    cum = cut(running_total(df, weight, [key]))
-    total = float(cum.agg(F.max("upto")).first()[0])
-    bins = n / total
-    owned = cum.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("before") * bins), F.floor(F.col("upto") * bins))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (unit_hash(F.col("id"), seed=seed) * total).alias("_u"))
-    hit = draws.withColumn("_bin", F.floor(F.col("_u") * bins)).join(owned, "_bin").where((F.col("before") <= F.col("_u")) & (F.col("_u") < F.col("upto")))
-    return hit.select("draw", *df.columns)
+    Rows start at their running weight, draws are points, and each draw takes the last row that starts at or before it.
+    Both lie on one line, cut into slices; a slice hands its last row on, so neither a heavy row nor a crowd of draws
+    meets in one task."""
+    cum = cut(running_total(df.where(F.col(weight) > 0), weight, [key]))
+    total = float(cum.agg(F.max("upto")).first()[0] or 0.0)
+    row = F.struct(*df.columns)
+    starts = cum.select(F.col("before").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("draw"), row.alias("_row"))
+    draws = df.sparkSession.range(n).select((unit_hash(F.col("id"), seed=seed) * total).alias("_at"), F.lit(1).alias("_kind"), F.col("id").alias("draw"))
+    line = starts.unionByName(draws, allowMissingColumns=True)
+    sliced = cut(line.repartitionByRange("_at", "_kind").withColumn("_slice", F.spark_partition_id()))
+    ends = sliced.groupBy("_slice").agg(F.max_by(F.col("_row"), F.when(F.col("_kind") == 0, F.col("_at"))).alias("_end"))
+    handed = ends.select("_slice", F.last("_end", ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)).alias("_handed"))
+    inside = F.last("_row", ignorenulls=True).over(W.partitionBy("_slice").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    met = sliced.withColumn("_own", inside).where("_kind = 1").join(handed, "_slice").withColumn("_hit", F.coalesce("_own", "_handed"))
+    return met.select("draw", *[F.col(f"_hit.{c}").alias(c) for c in df.columns])

@@ -6,6 +6,7 @@ pair is formed, so a place that holds a third of all rows costs no more than any
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,8 +100,8 @@ def nms(df: DataFrame, r: float, by: Sequence[str], order: Sequence[Column], inc
             .join(out.withColumnRenamed("lose", "win"), [*by, "win"], "left_anti")
         )
     kept = best.select(*by, F.col("rank.id").alias(id_col))
-    for out in gone:
-        kept = kept.join(out.withColumnRenamed("lose", id_col), [*by, id_col], "left_anti")
+    if gone:
+        kept = kept.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("lose", id_col), [*by, id_col], "left_anti")
     return df.join(kept, [*by, id_col], "left_semi").select(*df.columns)
 
 

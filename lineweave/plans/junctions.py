@@ -9,7 +9,7 @@ from lineweave.operators import pixels as P
 from lineweave.operators import spatial as S  # noqa: F401
 from lineweave.plans.catalog import query
 from lineweave.plans.derived import derived, with_fx
-from lineweave.plans.network import PTS, _dets, _points
+from lineweave.plans.network import DETS, PTS, SNAP, _dets, _points
 from lineweave.plans.raster import comp_sql
 from lineweave.session import cut
 
@@ -84,10 +84,43 @@ def _corrected(fn, **kw):
     return run
 
 
-query("local_recheck")(_corrected(A.local_recheck, y_to_t=True))
-query("multiradius_vote")(_corrected(A.multiradius_vote, outers=(4, 5, 6)))
-query("x_consistency")(_corrected(A.x_consistency, outers=(4, 5, 6)))
-query("validate_detections")(_corrected(A.validate_detections))
+def read_sql(outers: tuple[int, ...], inner: int = 2) -> str:
+    """``g``: what the arms round the pixel nearest to each detection say, at each outer radius."""
+    radii = ", ".join(f"({o})" for o in outers)
+    return PDR + f""", {DETS}, {SNAP.format(src="dets", r=2)}, oo(outer_) AS (VALUES {radii}), pl AS (SELECT DISTINCT tile_id, x, y FROM snap),
+ring AS (SELECT p.tile_id || ':' || p.y || ':' || p.x || ':' || outer_ AS tile_id, outer_, f.y, f.x, f.y - p.y AS dy, f.x - p.x AS dx,
+  (f.y - p.y) * (f.y - p.y) + (f.x - p.x) * (f.x - p.x) AS d2 FROM pl p CROSS JOIN oo JOIN fx_pixels f ON f.tile_id = p.tile_id
+    AND f.y BETWEEN p.y - outer_ AND p.y + outer_ AND f.x BETWEEN p.x - outer_ AND p.x + outer_
+  WHERE (f.y - p.y) * (f.y - p.y) + (f.x - p.x) * (f.x - p.x) > {inner * inner} AND (f.y - p.y) * (f.y - p.y) + (f.x - p.x) * (f.x - p.x) <= outer_ * outer_),
+{comp_sql("ring", "c")},
+arm AS (SELECT tile_id AS pid, comp_id, count(*) AS area, sqrt(max(d2)) - sqrt(min(d2)) AS span, sqrt(max(d2)) >= {inner} + 0.5 * (any_value(outer_) - {inner}) AS far,
+  avg(dx) AS mx, avg(dy) AS my FROM c GROUP BY 1, 2),
+ok AS MATERIALIZED (SELECT *, mx / sqrt(mx * mx + my * my) AS ux, my / sqrt(mx * mx + my * my) AS uy FROM arm WHERE area >= 2 AND span >= 1.0 AND far AND sqrt(mx * mx + my * my) > 1e-6),
+n AS (SELECT pid, count(*) AS n FROM ok GROUP BY 1),
+ang AS (SELECT a.pid, list_sort(list(degrees(acos(greatest(-1.0, least(1.0, a.ux * b.ux + a.uy * b.uy)))))) AS g FROM ok a JOIN ok b ON a.pid = b.pid AND a.comp_id < b.comp_id GROUP BY 1),
+tri AS (SELECT n.pid, n.n, g[1] AS a0, g[2] AS a1, g[3] AS a2 FROM n LEFT JOIN ang USING (pid)),
+er AS (SELECT *, abs(a2 - 180) + 0.7 * (abs(a0 - 90) + abs(a1 - 90)) AS t, abs(a0 - 120) + abs(a1 - 120) + abs(a2 - 120) AS v, a2 >= 150 AND a1 <= 124 AND a0 <= 124 AS gd FROM tri),
+g AS MATERIALIZED (SELECT s.tile_id, s.id, s.x AS sx, s.y AS sy, outer_, coalesce(er.n, 0) AS arms,
+  CASE WHEN er.n >= 4 THEN 'X' WHEN er.n = 3 THEN CASE WHEN gd AND t <= v + 6 THEN 'T' ELSE 'Y' END ELSE '' END AS seen,
+  CASE WHEN er.n >= 4 THEN false WHEN er.n = 3 THEN abs(t - v) <= 6 ELSE true END AS unsure
+  FROM snap s CROSS JOIN oo LEFT JOIN er ON er.pid = s.tile_id || ':' || s.y || ':' || s.x || ':' || outer_)"""
+
+
+PDR = with_fx("fx_pixels", "fx_detections", recursive=True)
+VOTES = """, w AS (SELECT tile_id, id, count(*) FILTER (WHERE seen = 'T' AND arms = 3 {sure}) AS t, count(*) FILTER (WHERE seen = 'Y' AND arms = 3 {sure}) AS v,
+  count(*) FILTER (WHERE arms >= 4) AS four FROM g GROUP BY 1, 2)
+SELECT d.tile_id, d.id, CASE WHEN d.label IN ({asked}) AND {won} THEN CASE WHEN w.t > w.v THEN 'T' ELSE 'Y' END ELSE d.label END AS label, d.x, d.y
+FROM dets d LEFT JOIN w USING (tile_id, id)"""
+
+query("local_recheck", read_sql((5,)) + """ SELECT d.tile_id, d.id, CASE WHEN d.label IN ('T', 'Y') AND g.seen IN ('T', 'Y') THEN g.seen ELSE d.label END AS label,
+  CASE WHEN d.label IN ('T', 'Y') THEN coalesce(g.sx, d.x) ELSE d.x END AS x, CASE WHEN d.label IN ('T', 'Y') THEN coalesce(g.sy, d.y) ELSE d.y END AS y
+FROM dets d LEFT JOIN g USING (tile_id, id)""")(_corrected(A.local_recheck, y_to_t=True))
+query("multiradius_vote", read_sql((4, 5, 6)) + VOTES.format(sure="AND NOT unsure", asked="'T', 'Y'", won="greatest(w.t, w.v) >= 2 AND abs(w.t - w.v) >= 1"))(
+    _corrected(A.multiradius_vote, outers=(4, 5, 6)))
+query("x_consistency", read_sql((4, 5, 6)) + VOTES.format(sure="", asked="'X'", won="w.four <= 1 AND greatest(w.t, w.v) >= 2"))(
+    _corrected(A.x_consistency, outers=(4, 5, 6)))
+query("validate_detections", read_sql((5,)) + """ SELECT d.tile_id, d.id, CASE WHEN g.seen <> '' AND NOT g.unsure THEN g.seen ELSE d.label END AS label, g.sx AS x, g.sy AS y
+FROM dets d JOIN g USING (tile_id, id) WHERE g.arms >= 3""")(_corrected(A.validate_detections))
 
 
 # A small made-up tree over the evidence columns; real trees come as model files of the same layout.

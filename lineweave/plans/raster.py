@@ -213,13 +213,36 @@ def fill_holes(spark, sf):
     return C.fill_holes(cut(P.dilate(derived(spark, sf, "fx_pixels"), P.SQUARE3)))
 
 
-@query("junction_nodes")
+def nodes_sql(least: int, out: str = "nodes") -> str:
+    """Node places from pixels with at least ``least`` neighbours.
+
+    Two grown disks are one group when some of their pixels touch, which depends on the offset of their centres alone."""
+    disk = [(dy, dx) for dy, k in P.disk(6).items() for dx in range(-k, k + 1)]
+    touch = sorted({(a + c, b + d) for a, b in disk for c, d in ((v + s, w + t) for v, w in disk for s in (-1, 0, 1) for t in (-1, 0, 1))})
+    return f"""{DEG}, br AS MATERIALIZED (SELECT tile_id, y, x, CAST(y AS BIGINT) * {P.PITCH} + x AS pos FROM deg WHERE deg >= {least}),
+tt(dy, dx) AS (VALUES {", ".join(map(str, touch))}), dk(dy, dx) AS (VALUES {", ".join(map(str, disk))}),
+be AS MATERIALIZED (SELECT a.tile_id, a.pos AS u, b.pos AS v FROM br a JOIN br b ON a.tile_id = b.tile_id AND a.pos <> b.pos AND abs(a.y - b.y) <= 13
+  JOIN tt ON tt.dy = b.y - a.y AND tt.dx = b.x - a.x),
+bq(tile_id, pos, root) AS (SELECT tile_id, pos, pos FROM br UNION SELECT e.tile_id, e.v, q.root FROM bq q JOIN be e ON e.tile_id = q.tile_id AND e.u = q.pos WHERE q.root < e.v),
+bm AS (SELECT tile_id, pos, min(root) AS comp FROM bq GROUP BY 1, 2),
+cell AS (SELECT DISTINCT br.tile_id, bm.comp, br.y + dk.dy AS y, br.x + dk.dx AS x FROM br JOIN bm USING (tile_id, pos) CROSS JOIN dk
+  WHERE br.y + dk.dy BETWEEN 0 AND {TILE_SIDE - 1} AND br.x + dk.dx BETWEEN 0 AND {TILE_SIDE - 1}),
+spot AS MATERIALIZED (SELECT tile_id, tile_id || ':' || comp AS id, avg(x) AS x, avg(y) AS y FROM cell GROUP BY tile_id, comp),
+near_ AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM spot a JOIN spot b ON a.tile_id = b.tile_id AND a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 144),
+nq(id, root) AS (SELECT id, id FROM spot UNION SELECT n.v, q.root FROM nq q JOIN near_ n ON n.u = q.id WHERE q.root < n.v),
+{out} AS (SELECT tile_id, avg(x) AS x, avg(y) AS y, count(*) AS size FROM spot JOIN (SELECT id, min(root) AS root FROM nq GROUP BY id) USING (id) GROUP BY tile_id, root)"""
+
+
+@query("junction_nodes", RPX + f", {nodes_sql(3)} SELECT tile_id, round(x, 6) AS x, round(y, 6) AS y, size FROM nodes")
 def junction_nodes(spark, sf):
     px = derived(spark, sf, "fx_pixels")
-    return C.junction_nodes(px, tiles(px))
+    return C.junction_nodes(px, tiles(px)).withColumns({c: F.round(c, 6) for c in "xy"})
 
 
-@query("base_proposals")
+@query("base_proposals", RPX + f""", {nodes_sql(4)}, at_ AS (SELECT tile_id, greatest(0, least(CAST(round_even(x, 0) AS INT), {TILE_SIDE - 1})) AS node_x,
+  greatest(0, least(CAST(round_even(y, 0) AS INT), {TILE_SIDE - 1})) AS node_y FROM nodes)
+SELECT tile_id, node_x, node_y, 'base_topology' AS proposal_source, 'base_junction' AS proposal_type, CAST(1 AS DOUBLE) AS proposal_score,
+  CAST(node_x < 8 OR node_y < 8 OR node_x >= {TILE_SIDE - 8} OR node_y >= {TILE_SIDE - 8} AS INT) AS border_flag FROM at_""")
 def base_proposals(spark, sf):
     px = derived(spark, sf, "fx_pixels")
     return C.base_proposals(C.junction_nodes(px, tiles(px), k=3), tiles(px))
@@ -235,7 +258,18 @@ def topology_gate(spark, sf):
     return C.topology_gate(derived(spark, sf, "fx_pixels"), d, 2)
 
 
-@query("morph_skeleton")
+SKELETON_LEVELS = 8      # more than any blob of the derived pixels has
+
+
+def _skeleton_sql(levels: int = SKELETON_LEVELS) -> str:
+    text = _dilate_sql("fx_pixels", P.CROSS3) + ", e0 AS MATERIALIZED (SELECT tile_id, y, x FROM d)"
+    for i in range(levels):
+        text += ", " + _erode_sql(f"e{i}", P.CROSS3, f"e{i + 1}", outside=True).replace(" AS (", " AS MATERIALIZED (", 1)
+        text += f""", o{i} AS (SELECT tile_id, y, x FROM e{i} EXCEPT SELECT e.tile_id, CAST(e.y + k.dy AS INT), CAST(e.x + k.dx AS INT) FROM e{i + 1} e CROSS JOIN k)"""
+    return text + " " + " UNION ".join(f"SELECT tile_id, y, x FROM o{i}" for i in range(levels))
+
+
+@query("morph_skeleton", with_fx("fx_pixels") + ", " + _skeleton_sql())
 def morph_skeleton(spark, sf):
     px = derived(spark, sf, "fx_pixels")
     return C.morph_skeleton(P.dilate(px, P.CROSS3, tiles(px)), tiles(px))
