@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineweave.llm.registry import query, table
-from lineweave.llm.words import slices, word_hashes
+from lineweave.llm.words import rows_at_once, slices, word_hashes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The bound of the training sample: documents of a language, and distinct words of a language.
@@ -192,7 +192,7 @@ def train(docs: DataFrame, path: str | None = None) -> LanguageModel:
     sample = known.join(F.broadcast(picks), same, "left_semi").select("lang", "text")  # TRAIN_DOCS rows a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             langs, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
             for lang in sorted(set(langs)):
                 words, inverse, _ = _word_runs([t for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: Sequence[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in rows_at_once(batches):
             texts, letters = batch.column(sent.index("text")).to_pylist(), batch.column(len(sent)).to_pylist()
             best, sure = m.scores([t.encode() if has else b"" for t, has in zip(texts, letters, strict=True)])
             ok = best >= 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import candidates
 from lineweave.llm.registry import query, table
-from lineweave.llm.words import gram_hashes, mix, slices
+from lineweave.llm.words import gram_hashes, mix, rows_at_once, slices
 from lineweave.operators.graph import components
 from lineweave.session import cut
 
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     kind = rows_in.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
             for lo, hi in slices(texts):
                 grams, counts, sets = _sets(texts[lo:hi], words)
@@ -88,7 +88,7 @@ def _gram_sets(texts: DataFrame, words: int) -> DataFrame:
     """``(item, text)`` -> ``(item, data)``: the sorted distinct hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for lo, hi in slices(raw):
                 _, _, sets = _sets(raw[lo:hi], words)

@@ -31,6 +31,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def rows_at_once(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in smaller ones, so that few texts are Python strings at any time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def slices(texts: Sequence[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` bytes each; a longer text is a range of its own."""
     start = size = 0
