@@ -53,7 +53,7 @@ def positive_weight(c) -> Column:
     return F.when(value > 0, value).otherwise(1.0)
 
 
-def safe_ratio(num, den, default: float = 0.0) -> Column:
+def safe_ratio(num, den, default: float | None = 0.0) -> Column:
     num, den = _col(num), _col(den)
     return F.when(den.isNotNull() & (F.abs(den) > 1e-9) & num.isNotNull(), F.try_divide(num, den)).otherwise(F.lit(default))
 
@@ -222,6 +222,45 @@ def three_arm_label(angles, mode: str = "symmetric", t_min_largest: float = 150.
                     err_t.alias("err_t"), err_y.alias("err_y"), guard.alias("t_guard"), unsure.alias("ambiguous"))
 
 
+def safe_cv(values: Column) -> Column:
+    """Spread of an array over its mean; NULL without values or if the mean is not positive."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / n
+    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, v: t + (v - mean) * (v - mean)) / n)
+    return F.when((n > 0) & (mean > 0), spread / mean)
+
+
+#: What the arms of a three-arm node look like, beside its angle errors.
+ARM_FEATURES = ("a0", "a1", "a2", "opp_gap", "area_cv", "span_cv", "area_ratio", "span_ratio", "third_area_frac", "third_span_frac", "opp_balance", "opp_area_ratio", "opp_span_ratio")
+
+
+def arm_features(arms: Column) -> Column:
+    """``struct<ARM_FEATURES>`` of three arms ``(area, span, ux, uy)``; NULL for any other number of arms.
+
+    The two arms that come nearest to a straight line are the opposite ones, the remaining one is the third."""
+    def arm(i: int, field: str) -> Column:
+        return F.get(arms, F.lit(i))[field].cast("double")
+
+    def pair(i: int, j: int) -> Column:
+        angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), arm(i, "ux") * arm(j, "ux") + arm(i, "uy") * arm(j, "uy")))))
+        third = 3 - i - j
+        return F.struct(angle.alias("angle"), F.lit(-i).alias("i"), F.lit(-j).alias("j"), *[arm(k, f).alias(f"{f}_{n}") for n, k in (("p", i), ("q", j), ("r", third)) for f in ("area", "span")])
+
+    pairs = F.array(pair(0, 1), pair(0, 2), pair(1, 2))
+    angles = F.array_sort(F.transform(pairs, lambda p: p["angle"]))
+    opp = F.array_max(pairs)
+    areas = F.transform(arms, lambda a: a["area"].cast("double"))
+    spans = F.transform(arms, lambda a: a["span"].cast("double"))
+    both = {f: opp[f"{f}_p"] + opp[f"{f}_q"] for f in ("area", "span")}
+    values = {
+        **{f"a{i}": F.get(angles, F.lit(i)) for i in range(3)}, "opp_gap": 180.0 - opp["angle"], "area_cv": safe_cv(areas), "span_cv": safe_cv(spans),
+        "area_ratio": safe_ratio(F.array_max(areas), F.array_min(areas), None), "span_ratio": safe_ratio(F.array_max(spans), F.array_min(spans), None),
+        "third_area_frac": safe_ratio(opp["area_r"], both["area"] + opp["area_r"], None), "third_span_frac": safe_ratio(opp["span_r"], both["span"] + opp["span_r"], None),
+        "opp_balance": safe_ratio(F.abs(opp["area_p"] - opp["area_q"]), both["area"], None), "opp_area_ratio": safe_ratio(both["area"], opp["area_r"], None),
+        "opp_span_ratio": safe_ratio(both["span"], opp["span_r"], None)}
+    return F.when(F.size(arms) == 3, F.struct(*[values[n].alias(n) for n in ARM_FEATURES]))
+
+
 # ---------------------------------------------------------------- scores
 
 def proposal_score(gap_len, alignment_deg, contacts) -> Column:

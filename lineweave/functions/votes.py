@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 CLASSES = ("N", "T", "X", "Y")
 HEADS = ("cnn", "mlp", "svm", "xgb")
-BLOCKED = ("veto", "monitor")      # x_modes in which X is never the answer
+MODES = ("veto", "monitor", "enabled")
+
+
+def bars_x(x_mode: str) -> bool:
+    """Is X never the answer? Only ``enabled`` allows it; an unknown mode counts as ``veto``."""
+    return x_mode.strip().lower() != "enabled"
 
 
 def _tally(votes: Sequence[Column], skip: str | None = None) -> Column:
@@ -47,7 +52,7 @@ def choose_label(probs: Mapping[str, Column], x_mode: str = "veto", classes: Seq
     """``struct(p, pos, label)`` of the most probable class; X is left out when it is blocked."""
     entries = [
         F.struct(probs[c].alias("p"), F.lit(-i).alias("pos"), F.lit(c).alias("label"))
-        for i, c in enumerate(classes) if not (c == "X" and x_mode in BLOCKED)
+        for i, c in enumerate(classes) if not (c == "X" and bars_x(x_mode))
     ]
     return F.array_max(F.array(*entries))
 

@@ -56,7 +56,7 @@ def synthesis_filter(df: DataFrame, x_mode: str = "veto", heads: Sequence[str] =
     trust rule asks for three), a weak Y only with the boosted-tree head behind it."""
     votes = [F.col(f"{h}_pred") for h in heads]
     voted = F.array(*votes)
-    blocked = F.lit(x_mode in V.BLOCKED)
+    blocked = F.lit(V.bars_x(x_mode))
     c, geo = F.col("consensus"), F.col("geometry_label")
     weak, virtual = F.col("agreement") < 3, V.is_virtual()
     trusted_y = (c == "Y") & (F.col("xgb_pred") == "Y") & (F.col("agreement") >= 2) & (geo != "T")

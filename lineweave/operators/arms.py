@@ -111,8 +111,8 @@ def _snapped(px: DataFrame, points: DataFrame, rules: Rules, snap: int | None, k
 
 
 def local_geometry(px: DataFrame, points: DataFrame, outers: Sequence[int] | None = None, rules: Rules = Rules(), snap: int | None = None,
-                   key: str = "tile_id") -> DataFrame:
-    """``(key, id, outer, label, arm_count, score, err, err_t, err_y, ambiguous, sx, sy)``; label '' where there is no node.
+                   key: str = "tile_id", arms: bool = False) -> DataFrame:
+    """``(key, id, outer, label, arm_count, score, err, err_t, err_y, ambiguous, sx, sy)``, on request ``arms``; label '' where there is no node.
 
     Four or more arms are an X. Three arms are T or Y by the angle errors; the robust modes also try the pixels around."""
     outers = [rules.outer] if outers is None else list(outers)
@@ -124,7 +124,7 @@ def local_geometry(px: DataFrame, points: DataFrame, outers: Sequence[int] | Non
     out = judged.select(
         key, "id", "outer", F.when(n >= 4, "X").when(n == 3, F.col("_t.label")).otherwise("").alias("label"), n.alias("arm_count"),
         F.when(n >= 4, 0.0).when(n == 3, F.col("_t.err")).otherwise(inf).alias("err"), F.coalesce("_t.err_t", inf).alias("err_t"),
-        F.coalesce("_t.err_y", inf).alias("err_y"), F.when(n >= 4, False).otherwise(F.coalesce("_t.ambiguous", F.lit(True))).alias("ambiguous"), "sx", "sy")
+        F.coalesce("_t.err_y", inf).alias("err_y"), F.when(n >= 4, False).otherwise(F.coalesce("_t.ambiguous", F.lit(True))).alias("ambiguous"), "sx", "sy", *(["arms"] if arms else []))
     if rules.mode in ("robust", "robust_vote"):
         out = _with_jitter(px, out, outers, rules, key)
     score = F.when(F.col("err") == inf, 0.0).otherwise(1.0 / (1.0 + F.greatest(F.lit(0.0), F.col("err"))))

@@ -203,11 +203,33 @@ def fuse_sources(spark, sf):
     return out.select("tile_id", "x", "y", "label", "score", "source_kind", "fusion_reason", "cluster_size")
 
 
-@query("radius_features")
+def _features_sql(radii: tuple[int, ...]) -> str:
+    names = ("a0", "a1", "a2", "opp_gap", "area_cv", "span_cv", "area_ratio", "span_ratio", "third_area_frac", "third_span_frac", "opp_balance", "opp_area_ratio", "opp_span_ratio")
+    wide = ", ".join(
+        f"max(arms) FILTER (WHERE outer_ = {r}) AS arm_count_{r}, max(nullif(seen, '')) FILTER (WHERE outer_ = {r}) AS label_{r}, "
+        + ", ".join(f"round(max({n}) FILTER (WHERE outer_ = {r} AND arms = 3), 5) AS {n}_{r}" for n in ("err_t", "err_y", *names)) for r in radii)
+    back = ", ".join(f"f.{n}_{r}" for r in radii for n in ("arm_count", "label", "err_t", "err_y", *names))
+    return read_sql(radii) + f""", th AS (SELECT pid, list(area ORDER BY comp_id) AS ar, list(span ORDER BY comp_id) AS sp, list(ux ORDER BY comp_id) AS ux, list(uy ORDER BY comp_id) AS uy
+  FROM ok GROUP BY 1 HAVING count(*) = 3),
+pa AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, ux[1] * ux[2] + uy[1] * uy[2])))) AS p12, degrees(acos(greatest(-1.0, least(1.0, ux[1] * ux[3] + uy[1] * uy[3])))) AS p13,
+  degrees(acos(greatest(-1.0, least(1.0, ux[2] * ux[3] + uy[2] * uy[3])))) AS p23 FROM th),
+op AS (SELECT *, CASE WHEN p12 >= p13 AND p12 >= p23 THEN 3 WHEN p13 >= p23 THEN 2 ELSE 1 END AS k FROM pa),
+qs AS (SELECT *, CASE WHEN k = 1 THEN 2 ELSE 1 END AS i, CASE WHEN k = 3 THEN 2 ELSE 3 END AS j FROM op),
+ft AS (SELECT pid, least(p12, p13, p23) AS a0, p12 + p13 + p23 - least(p12, p13, p23) - greatest(p12, p13, p23) AS a1, greatest(p12, p13, p23) AS a2, 180 - greatest(p12, p13, p23) AS opp_gap,
+  list_stddev_pop(ar) / list_avg(ar) AS area_cv, list_stddev_pop(sp) / list_avg(sp) AS span_cv, list_max(ar) / list_min(ar) AS area_ratio, list_max(sp) / list_min(sp) AS span_ratio,
+  ar[k] / list_sum(ar) AS third_area_frac, sp[k] / list_sum(sp) AS third_span_frac, abs(ar[i] - ar[j]) / (ar[i] + ar[j]) AS opp_balance,
+  (ar[i] + ar[j]) / ar[k] AS opp_area_ratio, (sp[i] + sp[j]) / sp[k] AS opp_span_ratio FROM qs),
+f AS (SELECT g.tile_id, g.id, {wide} FROM (SELECT g.*, er.t AS err_t, er.v AS err_y, ft.* FROM g LEFT JOIN er ON er.pid = g.tile_id || ':' || g.sy || ':' || g.sx || ':' || g.outer_
+  LEFT JOIN ft ON ft.pid = er.pid) g GROUP BY 1, 2)
+SELECT d.tile_id, d.id, d.x, d.y, d.label, {back} FROM dets d LEFT JOIN f USING (tile_id, id)"""
+
+
+@query("radius_features", _features_sql((4, 5, 6)))
 def radius_features(spark, sf):
     from lineweave.operators import fusion
 
-    return fusion.radius_features(_dets(spark, sf), cut(derived(spark, sf, "fx_pixels")), (4, 5, 6), RULES).drop("p_t")
+    out = fusion.radius_features(_dets(spark, sf), cut(derived(spark, sf, "fx_pixels")), (4, 5, 6), RULES).drop("p_t")
+    return out.withColumns({c: F.round(c, 5) for c, kind in out.dtypes if kind == "double"})
 
 
 RULE = {"feature_names": ["arm_count_29", "err_t_29"], "children_left": [1, -1, 3, -1, -1], "children_right": [2, -1, 4, -1, -1], "feature": [0, -2, 1, -2, -2],
