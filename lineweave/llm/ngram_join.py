@@ -56,6 +56,11 @@ def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, list[
     return grams, counts, [np.unique(grams[e - c : e]) for e, c in zip(ends, counts, strict=True)]
 
 
+def _name(grams: np.ndarray, text: bytes) -> str:
+    """Name of a set of n-grams; without any, of the text less the white space around it."""
+    return hashlib.md5(grams.tobytes() if len(grams) else b"text:" + text.strip()).hexdigest()
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, th, item, weight, buckets)``; ``item`` names the set of n-grams.
 
@@ -74,7 +79,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
-                        pa.array([hashlib.md5(s.tobytes()).hexdigest() for s in sets], pa.string()),
+                        pa.array([_name(s, t) for s, t in zip(sets, texts[lo:hi], strict=True)], pa.string()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel())),
                     ],
@@ -123,10 +128,11 @@ def _jaccard(threshold: float):
 def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row per document -> ``(doc_id, th, class_id, n_links, kept)``.
 
-    Two documents are linked when the Jaccard similarity of their sets of ``words``-word n-grams (lower case, split at
-    white space) is at least ``threshold``. ``n_links`` counts the other documents linked to it, copies included;
+    Two documents are linked when the Jaccard similarity of their sets of ``words``-word n-grams (lower case, parted
+    by white space and ASCII punctuation) is at least ``threshold``. ``n_links`` counts the other documents linked to it, copies included;
     ``class_id`` is the least doc_id reachable by links. A text of fewer than ``words`` words has one gram of all its
-    words. Null, empty and blank texts have no gram; they are alike and form one class. Each input row counts as a
+    words. Texts without a word have no gram and are linked when they are equal but for white space around them; null, empty
+    and blank ones are one class. Each input row counts as a
     document, so repeated rows link to each other. A null doc_id is an id less than all others. ``th`` is the hash of the
     text as it came; with doc_id it names the row. ``kept`` marks the row of a class with the least doc_id, then the least
     ``th``; rows that agree in both are equal and are all marked."""
@@ -157,12 +163,12 @@ def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recal
 
 SQL = """
 WITH RECURSIVE toks AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w, text FROM documents
 ), grams AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  SELECT doc_id, text, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM toks
 ), keyed AS (
-  SELECT doc_id, array_to_string(list_sort(g), chr(10)) AS k, g FROM grams
+  SELECT doc_id, CASE WHEN len(g) > 0 THEN array_to_string(list_sort(g), chr(10)) ELSE 'text:' || trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS k, g FROM grams
 ), classes AS MATERIALIZED (
   SELECT k, min(doc_id) AS rep, count(*) AS copies, any_value(g) AS g FROM keyed GROUP BY k
 ), shingle AS MATERIALIZED (

@@ -1,6 +1,7 @@
 """Line dedup, n-gram join and embedding dedup against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -43,8 +44,8 @@ def test_line_runs(spark, min_words):
 def brute_classes(rows, words=5, threshold=0.8):
     grams = []
     for r in rows:
-        w = (r[1] or "").lower().split()
-        grams.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+        w = re.findall("[a-z0-9\x80-\U0010ffff]+", (r[1] or "").lower())
+        grams.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else {(r[1] or "").strip()})
     n = len(rows)
     link = [[j for j in range(n) if j != i and (grams[i] == grams[j] or len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= threshold)] for i in range(n)]
     root = list(range(n))
@@ -65,7 +66,7 @@ def test_ngram_classes(spark):
             for _ in range(rng.choice([0, 0, 1, 2])):
                 w[rng.randrange(len(w))] = "new"
             rows.append((len(rows), " ".join(w), "en", "s", 0))
-    rows += [(len(rows) + k, t, "en", "s", 0) for k, t in enumerate(["", None, "  ", "HELLO there", "hello THERE"])]
+    rows += [(len(rows) + k, t, "en", "s", 0) for k, t in enumerate(["", None, "  ", "HELLO, there.", "hello THERE", "?!", "?! ", "--", "Ab\u00e4r 1!2", "ab\u00c4r 1 2"])]
     got = ngram_classes(documents(spark, rows)).collect()
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
