@@ -25,7 +25,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of what a worker holds: chunks with their ids, length of those kept longest, chunks encoded in one call, documents handled at once.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 650_000
 SHORT_CHUNK = 6
 CALL_CHUNKS = 10_000
 DOCS_AT_ONCE = 200
@@ -73,10 +73,12 @@ class Encoder:
         return [w for line in text.split("\n") for w in self._split(line, plain, other)]
 
     def _learn(self, chunks: list[str], plain: bool) -> None:
-        tokenizer = self.plain if plain else self.tokenizer
         for lo in range(0, len(chunks), CALL_CHUNKS):
             some = chunks[lo : lo + CALL_CHUNKS]
-            got = tokenizer.encode(" ".join(some), add_special_tokens=False)
+            if plain:  # no offsets needed: the tokens that end words part them
+                got = self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            else:
+                got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             if plain:
                 cuts = np.concatenate([[0], np.flatnonzero(self.word_end[ids]) + 1])
