@@ -45,8 +45,7 @@ def test_clusters(points):
     assert {r["id"]: r["cluster_id"] for r in S.radius_clusters(df, 3.0, ["scene"]).collect()} == {i: find(i) for i in comp}
 
 
-def test_greedy_match_with_a_hot_place(spark, points, monkeypatch):
-    monkeypatch.setattr(S, "ROWS_PER_SLICE", 7)
+def test_greedy_match_with_a_hot_place(spark, points):
     rows, df = points
     rng = random.Random(9)
     truth = [(1, 1000 + i, *((7, 7) if i % 4 == 0 else (rng.randrange(60), rng.randrange(60)))) for i in range(160)]
