@@ -58,6 +58,18 @@ def test_query_2_by_brute_force(spark, tmp_path, monkeypatch, slice_rows):
     assert [tuple(r[c] for c in names) for r in got] == want
 
 
+def test_a_shared_passage_of_64_characters_is_found(spark):
+    """Numbers written out: the guarantee must not move along with the constants."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(300):
+        a, b, passage = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (150, 150, 64))
+        rows.append((a[:70] + passage + a[70:], b[:95] + passage + b[95:]))
+    df = spark.createDataFrame(rows, "a string, b string")
+    marks = [winnowing.hashes(winnowing.fingerprint(F.col(c))) for c in "ab"]
+    assert df.where(~F.arrays_overlap(*marks)).count() == 0
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
