@@ -90,6 +90,31 @@ def test_mix_keeps_to_its_targets(spark):
         assert sum(s in v for v in blocks.values()) <= slots * k / 701 + 1
 
 
+def test_targets_are_not_rounded_to_a_short_period(spark):
+    def shares(rows, weights=None):
+        totals = spark.createDataFrame(rows, "src string, chars long, root long")
+        found = [k for _, _, k in mixing.target_shares(totals, weights)]
+        return [k / sum(found) for k in found]
+
+    two = [("=a", 10**10, 10**5), ("=b", 10**10, 10**5)]
+    assert shares(two, {"a": 1 / 3, "b": 2 / 3}) == pytest.approx([1 / 3, 2 / 3], rel=1e-9)
+    assert shares(two, {"a": 0.00001, "b": 0.99999}) == pytest.approx([0.00001, 0.99999], rel=1e-9)
+    many = [(f"={i:04}", i * i, i) for i in range(1, 2001)]
+    assert shares(many) == pytest.approx([i / sum(range(1, 2001)) for i in range(1, 2001)])
+
+
+def test_long_mix_stays_within_a_block(spark):
+    weights = {"a": 1 / 3, "b": 2 / 3 - 0.0004, "c": 0.0004}
+    rows = [(i, "x" * 10, "en", "abc"[0 if i < 4000 else 1 if i < 11990 else 2], 0) for i in range(12_000)]
+    got = [r for r in mixing.mix(documents(spark, rows, clash=False), weights, block_chars=10).collect() if r["on_target"]]
+    got.sort(key=lambda r: r["slot"])
+    assert [r["slot"] for r in got] == list(range(len(got))) and len(got) > 11_000
+    seen = dict.fromkeys(weights, 0)
+    for r in got:
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - (r["slot"] + 1) * w) < 1 + 1e-6 for s, w in weights.items())
+
+
 def test_mix_of_awkward_rows(spark):
     got = mixing.mix(documents(spark)).collect()
     assert sorted(r["position"] for r in got) == list(range(len(document_rows())))
