@@ -56,12 +56,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents; pieces of equal length take their slots in the order of the files, which is the mix."""
+    """Pack the documents; sequences, and pieces of equal length, are numbered in the order of the files, which is the mix."""
     try:
         ordered = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", "part-(\\d+)", 1).alias("_part"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:  # not read from files
         return pack_documents(docs)
-    return pack_documents(ordered.withColumn("_part", F.expr("coalesce(try_cast(_part as long), 0)")), ["_part", "_row"])
+    return pack_documents(ordered.withColumn("_part", F.expr("coalesce(try_cast(_part as long), 0)")), ["_part", "_row"], keep_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -206,16 +206,31 @@ def pack(cut_pieces: DataFrame, order: Sequence[str], capacity: int = CAPACITY)
     )
 
 
-def pack_documents(docs: DataFrame, order: Sequence[str] = ("doc_id",), path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def in_order(packed: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The same sequences, numbered by the ``order`` of their first and longest pieces; it must tell all pieces apart.
+
+    The least place of all pieces would not do: sequences of many short pieces would come before all others."""
+    firsts = packed.where("offset = 0").select("sequence_id", *order, F.lit(1).cast("long").alias("_one"))
+    numbers = running_total(firsts, "_one", order).select("sequence_id", F.col("before").alias("_number"))
+    return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).drop("_number")
+
+
+def pack_documents(
+    docs: DataFrame, order: Sequence[str] = ("doc_id",), path: str | None = None, capacity: int = CAPACITY, keep_order: bool = False
+) -> DataFrame:
     """Pack ``docs(doc_id, text, ...)`` -> ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
     Every row is a document of its own; repeated rows are packed as often as they come. ``order`` names the columns whose
-    order breaks ties between pieces of one length. An empty table gives an empty result."""
+    order breaks ties between pieces of one length; with ``keep_order`` the sequences are numbered in that order too, by their
+    longest pieces, not by decreasing length. An empty table gives an empty result."""
     keys = list(dict.fromkeys(["doc_id", *order]))
     path = path or vocabulary_path()
     flat = docs.select(*keys, "text")
     done = cut(pieces(flat, keys, path, capacity).withColumn("_n", F.monotonically_increasing_id()))
-    out = pack(done, [*order, "piece", "_n"], capacity)
+    whole = [*order, "piece", "_n"]
+    out = pack(done, whole, capacity)
+    if keep_order:
+        out = in_order(out, whole)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

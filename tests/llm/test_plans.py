@@ -6,8 +6,10 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lineweave.llm import mixing, packing
-from tests.llm.tables import document_rows, documents
+from lineweave.session import cut
+from tests.llm.tables import document_rows, documents, prose
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -118,3 +120,22 @@ def test_long_mix_stays_within_a_block(spark):
 def test_mix_of_awkward_rows(spark):
     got = mixing.mix(documents(spark)).collect()
     assert sorted(r["position"] for r in got) == list(range(len(document_rows())))
+
+
+def test_packed_sequences_keep_the_mix(spark, monkeypatch):
+    """Short and long documents, as much of each: any beginning of the sequences has about half of each."""
+    monkeypatch.setattr(corpus_pipeline, "mix", lambda docs: mixing.mix(docs, block_chars=4000))
+    rng = random.Random(3)
+    rows = [(i, prose(rng.randint(20, 60), rng), "en", "short", 0) for i in range(2400)]
+    rows += [(5000 + i, prose(rng.randint(200, 600), rng), "en", "long", 0) for i in range(240)]
+    mixed = cut(corpus_pipeline.source_mixing(spark, documents(spark, rows, clash=False), ""))
+    got = sorted(corpus_pipeline.packing(spark, mixed, "").collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    last = got[-1]["sequence_id"]
+    assert {r["sequence_id"] for r in got} == set(range(last + 1))
+    for share in (0.2, 0.4, 0.6, 0.8):
+        sizes = [0, 0]
+        for r in got:
+            if r["sequence_id"] < share * last:
+                sizes[r["doc_id"] >= 5000] += r["length"]
+        assert abs(sizes[0] / sum(sizes) - 0.5) < 0.1, (share, sizes)
+    assert sum(r["length"] for r in got) > 0.95 * 2048 * last
