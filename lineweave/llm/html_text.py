@@ -180,7 +180,9 @@ def _roots(tree: _Tree) -> set[int]:
         up = best
         while up > 0:
             if tree.name[up] == wanted:
-                return {up}
+                least = SIBLING_SHARE * score[up]
+                beside = (i for i in range(1, n) if tree.name[i] == "article" and tree.parent[i] == tree.parent[up] and score[i] > 0 and score[i] >= least)
+                return {up, *beside} if wanted == "article" else {up}
             up = tree.parent[up]
     inside = [False] * n
     for i in range(best + 1, n):

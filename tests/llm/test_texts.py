@@ -147,6 +147,12 @@ def test_page_text():
     assert html_text.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
 
 
+def test_text_in_two_articles_of_unequal_length():
+    longer, shorter = ("".join(f"<p>{w}, one, two, three, four" for _ in range(n)) for w, n in (("long", 9), ("short", 4)))
+    got = html_text.main_text(f"<body><article><div>{longer}</div></article><article><div>{shorter}</div></article><article><p>teaser</article></body>")
+    assert got.count("long") == 9 and got.count("short") == 4 and "teaser" not in got
+
+
 def test_page_rows(spark, tmp_path):
     rows = html_text.op9(spark, write_tables(spark, tmp_path)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in rows) == [(0, "a & b a & b a & b", 17), (1, "Hello, world", 12), (1, "Hello, world", 12), (2, "", 0), (3, "", 0), (4, "deep", 4)]
