@@ -11,6 +11,7 @@ from lineweave.llm import (  # noqa: F401
     packing,
     periodic_runs,
     pii,
+    spelling,
     toxicity,
     winnowing,
 )
