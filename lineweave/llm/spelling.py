@@ -26,8 +26,8 @@ from lineweave.session import cut, is_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a shard of the index, and searches of a task in it.
-SHARD_WORDS = 1 << 16
-SHARD_SEARCHES = 1 << 17
+SHARD_WORDS = 1 << 13
+SHARD_SEARCHES = 1 << 14
 #: Searches carried at once through the index.
 AT_ONCE = 1 << 14
 #: Intervals of up to so many suffixes are read; in longer ones every letter is tried.
