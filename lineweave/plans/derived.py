@@ -4,6 +4,8 @@ The text runs unchanged in Spark SQL and in DuckDB, so both sides of a check rea
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _PIXEL_KEY = """CAST(floor(l_orderkey / 1000) AS INT) AS tile_id,
@@ -18,7 +20,34 @@ def _cls(expr: str) -> str:
     return f"CASE {expr} % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'Y' WHEN 2 THEN 'X' ELSE 'N' END"
 
 
+_NODES = """SELECT CAST(floor(o_orderkey / 4) AS INT) AS node, CAST(o_orderkey % 4 AS INT) AS arm, CAST(floor(o_orderkey / 144) AS INT) AS tile_id,
+       CAST(64 + 128 * (floor(o_orderkey / 4) % 6) + (floor(o_orderkey / 4) * 7) % 17 - 8 AS INT) AS cx,
+       CAST(64 + 128 * (floor(floor(o_orderkey / 4) / 6) % 6) + (floor(o_orderkey / 4) * 11) % 17 - 8 AS INT) AS cy,
+       CAST(floor(floor(o_orderkey / 4) / 5) % 4 AS INT) AS rot,
+       CASE CAST(floor(o_orderkey / 144) AS INT) % 4 WHEN 0 THEN 20 ELSE 58 END AS len,
+       CAST(CASE WHEN floor(o_orderkey / 144) % 4 = 0 THEN floor(o_orderkey / 4) % 5
+                 WHEN floor(o_orderkey / 4) % CASE floor(o_orderkey / 144) % 4 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 18 END = 0 THEN floor(floor(o_orderkey / 4) / 6) % 3
+                 ELSE 3 + floor(o_orderkey / 4) % 2 END AS INT) AS kind
+FROM orders"""
+
 FX = {
+    # Sparse lines on tiles of 768 px: nodes of three or four arms, plain lines (kind 3) and T nodes with a broken stem (kind 4). STEPS(n) are the rows 0 .. n - 1.
+    "fx_lines": (
+        "orders",
+        f"""SELECT DISTINCT tile_id, CAST(cy + floor((k * dy + 500) / 1000.0) AS INT) AS y, CAST(cx + floor((k * dx + 500) / 1000.0) AS INT) AS x FROM (
+  SELECT *, STEPS(60) AS k, CASE rot WHEN 0 THEN ux WHEN 1 THEN -uy WHEN 2 THEN -ux ELSE uy END AS dx, CASE rot WHEN 0 THEN uy WHEN 1 THEN ux WHEN 2 THEN -uy ELSE -ux END AS dy
+  FROM (SELECT *, CASE WHEN kind = 1 THEN CASE arm WHEN 0 THEN 0 WHEN 1 THEN 866 ELSE -866 END ELSE CASE arm WHEN 0 THEN 1000 WHEN 2 THEN -1000 ELSE 0 END END AS ux,
+          CASE WHEN kind = 1 THEN CASE arm WHEN 0 THEN -1000 ELSE 500 END ELSE CASE arm WHEN 1 THEN 1000 WHEN 3 THEN -1000 ELSE 0 END END AS uy
+        FROM ({_NODES}) WHERE (arm < 3 OR kind = 2) AND (kind <> 3 OR arm <> 1)))
+WHERE k < len AND NOT (kind = 4 AND arm = 1 AND k = 1)""",
+    ),
+    # The planted nodes, and where a first guess puts them: up to 2 px off, with any label.
+    "fx_nodes": (
+        "orders",
+        f"""SELECT tile_id, node AS id, kind, cx, cy, CASE kind WHEN 1 THEN 'Y' WHEN 2 THEN 'X' WHEN 3 THEN 'N' ELSE 'T' END AS planted,
+       CAST(cx + node % 5 - 2 AS INT) AS x, CAST(cy + (node * 3) % 5 - 2 AS INT) AS y, {_cls("(node * 3)")} AS label
+FROM ({_NODES}) WHERE arm = 0""",
+    ),
     "fx_pixels": ("lineitem", f"SELECT DISTINCT {_PIXEL_KEY} FROM lineitem"),
     "fx_gray": (
         "lineitem",
@@ -110,6 +139,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table. Only the columns a query uses reach the parquet scan."""
     base, text = FX[name]
     source = spark.read.parquet(f"{sf_dir}/{base}.parquet")
+    text = re.sub(r"STEPS\((\d+)\)", lambda m: f"explode(sequence(0, {int(m[1]) - 1}))", text)
     return spark.sql(text.replace(f"FROM {base}", "FROM {src}"), src=source)
 
 
@@ -120,4 +150,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fx(*names: str, recursive: bool = False) -> str:
     """``WITH fx_a AS (...), fx_b AS (...)`` for the SQL side of a check."""
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({FX[n][1]})" for n in names)
+    return re.sub(r"STEPS\((\d+)\)", r"unnest(range(\1))", head + ",\n".join(f"{n} AS ({FX[n][1]})" for n in names))
