@@ -35,6 +35,12 @@ def running_total(df: DataFrame, weight: str, order: Sequence[str], by: Sequence
     )
 
 
+def dense_rank(df: DataFrame, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: how many distinct values of ``order`` inside ``by`` are less than the row's, from 0 on."""
+    distinct = df.select(*by, *order).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    return df.join(running_total(distinct, "_one", order, by).select(*by, *order, F.col("before").alias(name)), [*by, *order])
+
+
 def average_rank(df: DataFrame, col: str) -> DataFrame:
     """``(col, rank)``: the mean rank of each value among all rows."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lineweave.operators.graph import components
-from lineweave.operators.ranks import running_total
+from lineweave.operators.ranks import dense_rank, running_total
 from lineweave.session import cut, is_empty
 
 
@@ -128,6 +128,11 @@ def radius_clusters(df: DataFrame, r: float, by: Sequence[str], id_col: str = "i
     return tagged.join(names, "_comp").select(*df.columns, "cluster_id")
 
 
+def cluster_numbers(clustered: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``cluster_number`` to rows with ``cluster_id``: 0, 1, ... inside ``by`` in the order of the first members."""
+    return dense_rank(clustered, ["cluster_id"], by, "cluster_number")
+
+
 # ---------------------------------------------------------------- matching
 
 def greedy_match(truth: DataFrame, pred: DataFrame, r: float, by: Sequence[str], gt_id: str = "gt_id",

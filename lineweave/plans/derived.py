@@ -21,8 +21,8 @@ def _cls(expr: str) -> str:
 
 
 _NODES = """SELECT CAST(floor(o_orderkey / 4) AS INT) AS node, CAST(o_orderkey % 4 AS INT) AS arm, CAST(floor(o_orderkey / 144) AS INT) AS tile_id,
-       CAST(64 + 128 * (floor(o_orderkey / 4) % 6) + (floor(o_orderkey / 4) * 7) % 17 - 8 AS INT) AS cx,
-       CAST(64 + 128 * (floor(floor(o_orderkey / 4) / 6) % 6) + (floor(o_orderkey / 4) * 11) % 17 - 8 AS INT) AS cy,
+       CAST(64 + 128 * (floor(o_orderkey / 4) % 6) + (floor(o_orderkey / 4) * 7) % 9 - 4 AS INT) AS cx,
+       CAST(64 + 128 * (floor(floor(o_orderkey / 4) / 6) % 6) + (floor(o_orderkey / 4) * 11) % 9 - 4 AS INT) AS cy,
        CAST(floor(floor(o_orderkey / 4) / 5) % 4 AS INT) AS rot,
        CASE CAST(floor(o_orderkey / 144) AS INT) % 4 WHEN 0 THEN 20 ELSE 58 END AS len,
        CAST(CASE WHEN floor(o_orderkey / 144) % 4 = 0 THEN floor(o_orderkey / 4) % 5

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from lineweave.operators import arms as A
 from lineweave.operators import components as C
 from lineweave.operators import detector as D
+from lineweave.operators import paths as T
 from lineweave.operators import pixels as P
 from lineweave.operators import rings as R
+from lineweave.operators import sweeps as W
 from lineweave.plans.catalog import query
 from lineweave.plans.derived import derived, with_fx
-from lineweave.plans.network import ring_sql
+from lineweave.plans.network import _grid_sql, _round_f1, ring_sql
 from lineweave.plans.raster import comp_sql
 from lineweave.session import cut
 
@@ -24,9 +26,9 @@ LDEG = """deg AS MATERIALIZED (SELECT p.tile_id, p.y, p.x, CAST(count(q.x) AS IN
 SHARES = "shares AS (SELECT tile_id, count(*) FILTER (WHERE deg >= 3) / count(*) AS branch_ratio FROM deg GROUP BY 1)"
 
 
-def reading_sql(places: str, pre: str = "") -> str:
-    """``{pre}rd``: what the arms say at each ``(tile_id, y, x, outer_)`` of ``places``, by the default rules."""
-    p, inner = pre, RULES.inner
+def reading_sql(places: str, pre: str = "", rules: A.Rules = RULES) -> str:
+    """``{pre}rd``: what the arms say at each ``(tile_id, y, x, outer_)`` of ``places``, by ``rules``."""
+    p, inner = pre, rules.inner
     return f"""{p}ring AS (SELECT p.tile_id || ':' || p.y || ':' || p.x || ':' || outer_ AS tile_id, outer_, f.y, f.x, f.y - p.y AS dy, f.x - p.x AS dx,
   (f.y - p.y) * (f.y - p.y) + (f.x - p.x) * (f.x - p.x) AS d2 FROM (SELECT DISTINCT tile_id, y, x, outer_ FROM {places}) p JOIN fx_lines f ON f.tile_id = p.tile_id
     AND f.y BETWEEN p.y - outer_ AND p.y + outer_ AND f.x BETWEEN p.x - outer_ AND p.x + outer_
@@ -35,15 +37,15 @@ def reading_sql(places: str, pre: str = "") -> str:
 {p}arm AS (SELECT tile_id AS pid, comp_id, count(*) AS area, sqrt(max(d2)) - sqrt(min(d2)) AS span, sqrt(max(d2)) >= {inner} + 0.5 * (any_value(outer_) - {inner}) AS far,
   avg(dx) AS mx, avg(dy) AS my FROM {p}cc GROUP BY 1, 2),
 {p}ok AS MATERIALIZED (SELECT *, mx / sqrt(mx * mx + my * my) AS ux, my / sqrt(mx * mx + my * my) AS uy FROM {p}arm
-  WHERE area >= {RULES.min_pixels} AND span >= {RULES.min_span} AND far AND sqrt(mx * mx + my * my) > 1e-6),
+  WHERE area >= {rules.min_pixels} AND span >= {rules.min_span} AND far AND sqrt(mx * mx + my * my) > 1e-6),
 {p}n AS (SELECT pid, count(*) AS n FROM {p}ok GROUP BY 1),
 {p}ang AS (SELECT a.pid, list_sort(list(degrees(acos(greatest(-1.0, least(1.0, a.ux * b.ux + a.uy * b.uy)))))) AS g FROM {p}ok a JOIN {p}ok b ON a.pid = b.pid AND a.comp_id < b.comp_id GROUP BY 1),
 {p}tri AS (SELECT n.pid, n.n, g[1] AS a0, g[2] AS a1, g[3] AS a2 FROM {p}n n LEFT JOIN {p}ang USING (pid)),
-{p}er AS (SELECT *, abs(a2 - 180) + 0.7 * (abs(a0 - 90) + abs(a1 - 90)) AS t, abs(a0 - 120) + abs(a1 - 120) + abs(a2 - 120) AS v, a2 >= 150 AND a1 <= 124 AND a0 <= 124 AS gd FROM {p}tri),
-{p}rd AS MATERIALIZED (SELECT s.tile_id, s.y, s.x, s.outer_, coalesce(e.n, 0) AS arms, CASE WHEN e.n >= 4 THEN 'X' WHEN e.n = 3 THEN CASE WHEN gd AND t <= v + 6 THEN 'T' ELSE 'Y' END ELSE '' END AS seen,
-  CASE WHEN e.n >= 4 THEN 0.0 WHEN e.n = 3 THEN CASE WHEN gd AND t <= v + 6 THEN t ELSE v END END AS err, CASE WHEN e.n = 3 THEN t END AS err_t, CASE WHEN e.n = 3 THEN v END AS err_y,
-  CASE WHEN e.n >= 4 THEN false WHEN e.n = 3 THEN abs(t - v) <= 6 ELSE true END AS unsure,
-  CASE WHEN e.n >= 4 THEN 1.0 WHEN e.n = 3 THEN 1 / (1 + CASE WHEN gd AND t <= v + 6 THEN t ELSE v END) ELSE 0.0 END AS score
+{p}er AS (SELECT *, abs(a2 - 180) + 0.7 * (abs(a0 - 90) + abs(a1 - 90)) AS t, abs(a0 - 120) + abs(a1 - 120) + abs(a2 - 120) AS v, a2 >= {rules.t_min_largest} AND a1 <= {rules.t_max_side} AND a0 <= {rules.t_max_side} AS gd FROM {p}tri),
+{p}rd AS MATERIALIZED (SELECT s.tile_id, s.y, s.x, s.outer_, coalesce(e.n, 0) AS arms, CASE WHEN e.n >= 4 THEN 'X' WHEN e.n = 3 THEN CASE WHEN gd AND t <= v + {rules.margin} THEN 'T' ELSE 'Y' END ELSE '' END AS seen,
+  CASE WHEN e.n >= 4 THEN 0.0 WHEN e.n = 3 THEN CASE WHEN gd AND t <= v + {rules.margin} THEN t ELSE v END END AS err, CASE WHEN e.n = 3 THEN t END AS err_t, CASE WHEN e.n = 3 THEN v END AS err_y,
+  CASE WHEN e.n >= 4 THEN false WHEN e.n = 3 THEN abs(t - v) <= {rules.margin} ELSE true END AS unsure,
+  CASE WHEN e.n >= 4 THEN 1.0 WHEN e.n = 3 THEN 1 / (1 + CASE WHEN gd AND t <= v + {rules.margin} THEN t ELSE v END) ELSE 0.0 END AS score
   FROM (SELECT DISTINCT tile_id, y, x, outer_ FROM {places}) s LEFT JOIN {p}er e ON e.pid = s.tile_id || ':' || s.y || ':' || s.x || ':' || s.outer_)"""
 
 
@@ -106,10 +108,10 @@ def _corrected(fn, **kw):
     return run
 
 
-def guess_sql(outers: tuple[int, ...], only: str) -> str:
+def guess_sql(outers: tuple[int, ...], only: str, rules: A.Rules = RULES) -> str:
     radii = ", ".join(f"({o})" for o in outers)
-    return f"""{LINES}, dets AS (SELECT tile_id, id, x, y, label FROM fx_nodes), asked AS (SELECT * FROM dets WHERE {only}), {snap_sql('asked')},
-pl AS (SELECT s.tile_id, s.y, s.x, CAST(o AS INT) AS outer_ FROM snap s CROSS JOIN (VALUES {radii}) oo(o)), {reading_sql('pl')}, g AS (SELECT s.id, r.* FROM snap s JOIN rd r USING (tile_id, y, x))"""
+    return f"""{LINES}, dets AS (SELECT tile_id, id, x, y, label FROM fx_nodes), asked AS (SELECT * FROM dets WHERE {only}), {snap_sql('asked', max(2, rules.inner))},
+pl AS (SELECT s.tile_id, s.y, s.x, CAST(o AS INT) AS outer_ FROM snap s CROSS JOIN (VALUES {radii}) oo(o)), {reading_sql('pl', rules=rules)}, g AS (SELECT s.id, r.* FROM snap s JOIN rd r USING (tile_id, y, x))"""
 
 
 VOTES = """, w AS (SELECT tile_id, id, count(*) FILTER (WHERE seen = 'T' AND arms = 3 {sure}) AS t, count(*) FILTER (WHERE seen = 'Y' AND arms = 3 {sure}) AS v, count(*) FILTER (WHERE arms >= 4) AS four
@@ -341,3 +343,143 @@ LRING = ring_sql(R.FEATURE_RADII, 64).replace("fx_pixels", "fx_lines")
 def collinearity_features_lines(spark, sf):
     out = R.collinearity_features(_lines(spark, sf), _guesses(spark, sf))
     return out.withColumns({f"r{r}": F.round(f"r{r}", 4) for r in R.FEATURE_RADII})
+
+
+# ---------------------------------------------------------------- walks at their own lengths
+
+LNB = f"""{LINES}, {LDEG}, nb AS MATERIALIZED (SELECT p.tile_id, p.y, p.x, q.y AS ny, q.x AS nx, q.deg AS ndeg FROM deg p JOIN deg q
+  ON q.tile_id = p.tile_id AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 AND NOT (q.x = p.x AND q.y = p.y))"""
+# Walks that leave the crowd round their start by the farthest pixel, and stop at a fork more than 6 px out.
+COORDS = """w(tile_id, id, b, sy, sx, cy, cx, n, path) AS (
+  SELECT s.tile_id, s.id, (nb.ny - s.y + 1) * 3 + nb.nx - s.x + 1, s.y, s.x, nb.ny, nb.nx, 1, [s.y * 1000 + s.x, nb.ny * 1000 + nb.nx] FROM snap s JOIN nb USING (tile_id, y, x)
+  UNION ALL
+  SELECT tile_id, id, b, sy, sx, ny, nx, n + 1, list_append(path, ny * 1000 + nx) FROM (
+    SELECT w.*, nb.ny, nb.nx, deg.deg AS here, row_number() OVER (PARTITION BY w.tile_id, w.id, w.b ORDER BY (nb.ny - sy) * (nb.ny - sy) + (nb.nx - sx) * (nb.nx - sx) DESC, nb.ny, nb.nx) AS rn,
+      count(*) OVER (PARTITION BY w.tile_id, w.id, w.b) AS ahead FROM w JOIN nb ON nb.tile_id = w.tile_id AND nb.y = w.cy AND nb.x = w.cx AND NOT list_contains(w.path, nb.ny * 1000 + nb.nx)
+      JOIN deg ON deg.tile_id = w.tile_id AND deg.y = w.cy AND deg.x = w.cx WHERE w.n < 60)
+  WHERE rn = 1 AND here > 1 AND NOT ((cy - sy) * (cy - sy) + (cx - sx) * (cx - sx) > 36 AND (here >= 3 OR ahead > 1))),
+last AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY tile_id, id, b ORDER BY n DESC) = 1),
+steps AS (SELECT tile_id, id, b, tr.tr, least(n, tr.tr) AS n, path, unnest(path[2:least(n, tr.tr) + 1]) AS p FROM last CROSS JOIN (VALUES (40), (60)) tr(tr)),
+mom AS (SELECT tile_id, id, b, tr, any_value(n) AS n, any_value(path[n + 1]) AS e, any_value(path[2]) AS s, var_pop(p % 1000) * count(*) AS sxx, var_pop(p // 1000) * count(*) AS syy,
+  covar_pop(p % 1000, p // 1000) * count(*) AS sxy FROM steps GROUP BY 1, 2, 3, 4 HAVING any_value(n) >= 3),
+th AS (SELECT *, 0.5 * atan2(2 * sxy, sxx - syy) AS t, sxx + syy AS tot, (sxx + syy) / 2 + sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy) AS major FROM mom),
+fit AS (SELECT tile_id, id, b, tr, n, (degrees(t) + CASE WHEN cos(t) * (e % 1000 - s % 1000) + sin(t) * (e // 1000 - s // 1000) >= 0 THEN 0 ELSE 180 END + 360) % 360 AS angle,
+  CASE WHEN tot > 1e-12 THEN major / tot ELSE 0 END AS r2 FROM th)"""
+PAIRED = """, many AS (SELECT tile_id, id, tr FROM fit GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+pc AS (SELECT a.tile_id, a.id, a.tr, greatest(0, 1 - abs(least(abs(a.angle - b.angle) % 360, 360 - abs(a.angle - b.angle) % 360) - 180) / 90) * least(a.r2, b.r2) * least(1, least(a.n, b.n) / 20) AS s
+  FROM fit a JOIN fit b ON a.tile_id = b.tile_id AND a.id = b.id AND a.tr = b.tr AND a.b < b.b SEMI JOIN many m ON m.tile_id = a.tile_id AND m.id = a.id AND m.tr = a.tr),
+scr AS (SELECT tile_id, id, tr, list_sort(list(round(s, 9)), 'DESC') AS l FROM pc GROUP BY 1, 2, 3)"""
+YS = f"dets AS (SELECT * FROM fx_nodes), ys AS (SELECT * FROM dets WHERE label = 'Y'), {snap_sql('ys', 5)}"
+
+
+def _snapped(spark, sf, px, labels):
+    g = _guesses(spark, sf).where(F.col("label").isin(*labels))
+    return R.snap_to_pixel(g, px, 5).select("tile_id", "id", F.col("sx").alias("x"), F.col("sy").alias("y"))
+
+
+@query("fitted_branches_lines", f"{LNB}, {YS}, {COORDS} SELECT tile_id, id, CAST(tr AS INT) AS trace, count(*) AS n, sum(n) AS total, round(sum(r2), 5) AS r2, round(sum(cos(radians(angle))), 4) + 0 AS cx, round(sum(sin(radians(angle))), 4) + 0 AS cy FROM fit GROUP BY 1, 2, 3")
+def fitted_branches_lines(spark, sf):
+    """Branches fitted over 40 and over 60 px, from one walk."""
+    px = _lines(spark, sf)
+    f = T.fitted_branches_at(px, _snapped(spark, sf, px, ["Y"]))
+    rad = F.radians("angle")
+    return f.groupBy("tile_id", "id", "trace").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.round(F.sum("r2"), 5).alias("r2"), (F.round(F.sum(F.cos(rad)), 4) + 0.0).alias("cx"), (F.round(F.sum(F.sin(rad)), 4) + 0.0).alias("cy"))
+
+
+@query("continuity_override_lines", f"{LNB}, {YS}, {COORDS}{PAIRED} SELECT d.tile_id, d.id, CASE WHEN s.l[1] >= 0.55 AND (s.l[2] < 1e-9 OR s.l[1] >= s.l[2] * 1.3) THEN 'T' ELSE d.label END AS label FROM dets d LEFT JOIN scr s ON s.tile_id = d.tile_id AND s.id = d.id AND s.tr = 60 AND d.label = 'Y'")
+def continuity_override_lines(spark, sf):
+    return T.continuity_override(_guesses(spark, sf), _lines(spark, sf)).select("tile_id", "id", "label")
+
+
+def _truth(spark, sf):
+    n = derived(spark, sf, "fx_nodes")
+    return n.select("tile_id", "id", F.when(F.col("kind") != 3, F.col("planted")).alias("true_label"), F.col("label").alias("pred_label"))
+
+
+@query("continuity_trace_sweep", f"""{LNB}, {YS}, {COORDS}{PAIRED},
+rows_ AS (SELECT CASE WHEN d.kind <> 3 THEN d.planted END AS true_label, d.label AS pred_label, a.l[1] AS b40, coalesce(a.l[2], 0) AS s40, b.l[1] AS b60, coalesce(b.l[2], 0) AS s60
+  FROM dets d LEFT JOIN scr a ON a.tile_id = d.tile_id AND a.id = d.id AND a.tr = 40 LEFT JOIN scr b ON b.tile_id = d.tile_id AND b.id = d.id AND b.tr = 60), """
+       + _grid_sql(", ".join(f"({t}, {q}, {n})" for t, q, n in W.CONTINUITY_GRID), "threshold, ratio, trace",
+                   """CASE WHEN pred_label = 'Y' AND CASE WHEN trace = 40 THEN b40 ELSE b60 END >= threshold AND (CASE WHEN trace = 40 THEN s40 ELSE s60 END < 1e-9
+  OR CASE WHEN trace = 40 THEN b40 ELSE b60 END >= CASE WHEN trace = 40 THEN s40 ELSE s60 END * ratio) THEN 'T' ELSE pred_label END""", "rows_"))
+def continuity_trace_sweep(spark, sf):
+    """All 70 cells over one walk from each Y."""
+    px = _lines(spark, sf)
+    score = T.continuity_at(px, _snapped(spark, sf, px, ["Y"])).groupBy("tile_id", "id").agg(
+        *[F.round(F.max(F.when(F.col("trace") == n, F.col(c))), 9).alias(f"{c}_{n}") for n in (40, 60) for c in ("best", "second")])
+    out = W.continuity_trace_sweep(cut(_truth(spark, sf).join(score, ["tile_id", "id"], "left")))
+    return _round_f1(out.withColumn("trace", F.col("trace").cast("double")))
+
+
+TYS = f"dets AS (SELECT * FROM fx_nodes), ty AS (SELECT * FROM dets WHERE label IN ('T', 'Y'))"
+
+
+def _net_sql(px: str, p: str) -> str:
+    """``{p}br``: lengths of ending branches and the number of others for each T and Y guess, on the net ``px``."""
+    return f"""{p}dg AS MATERIALIZED (SELECT p.tile_id, p.y, p.x, count(q.x) AS deg FROM {px} p LEFT JOIN {px} q ON q.tile_id = p.tile_id AND q.y BETWEEN p.y - 1 AND p.y + 1
+  AND q.x BETWEEN p.x - 1 AND p.x + 1 AND NOT (q.x = p.x AND q.y = p.y) GROUP BY 1, 2, 3),
+{p}nb AS MATERIALIZED (SELECT p.tile_id, p.y, p.x, q.y AS ny, q.x AS nx, q.deg AS ndeg FROM {p}dg p JOIN {p}dg q ON q.tile_id = p.tile_id AND q.y BETWEEN p.y - 1 AND p.y + 1
+  AND q.x BETWEEN p.x - 1 AND p.x + 1 AND NOT (q.x = p.x AND q.y = p.y)),
+{snap_sql('ty', 5).replace('snap AS', p + 'snap AS').replace('fx_lines', px)},
+{p}w(tile_id, id, b, py, px, cy, cx, d, n, path) AS (
+  SELECT s.tile_id, s.id, (nb.ny - s.y + 1) * 3 + nb.nx - s.x + 1, s.y, s.x, nb.ny, nb.nx, nb.ndeg, 1, [s.y * 1000 + s.x, nb.ny * 1000 + nb.nx] FROM {p}snap s JOIN {p}nb nb USING (tile_id, y, x)
+  UNION ALL
+  SELECT w.tile_id, w.id, w.b, w.cy, w.cx, nb.ny, nb.nx, nb.ndeg, w.n + 1, list_append(w.path, nb.ny * 1000 + nb.nx) FROM {p}w w JOIN {p}nb nb ON nb.tile_id = w.tile_id AND nb.y = w.cy AND nb.x = w.cx
+    AND NOT (nb.ny = w.py AND nb.nx = w.px) WHERE w.d = 2 AND w.n < 200 AND NOT list_contains(w.path, nb.ny * 1000 + nb.nx)),
+{p}end AS (SELECT *, CASE WHEN n >= 200 THEN 'long' WHEN d >= 3 THEN 'junction' WHEN d <= 1 THEN 'endpoint' ELSE 'loop' END AS why FROM {p}w
+  QUALIFY row_number() OVER (PARTITION BY tile_id, id, b ORDER BY n DESC) = 1),
+{p}br AS (SELECT tile_id, id, list(n) FILTER (WHERE why = 'endpoint') AS ends, count(*) FILTER (WHERE why IN ('junction', 'long')) AS through, count(*) AS nb FROM {p}end GROUP BY 1, 2)"""
+
+
+BRIDGED = """prs AS (SELECT * FROM (SELECT e.tile_id, e.y AS y0, e.x AS x0, t.y AS y1, t.x AS x1, greatest(abs(t.x - e.x), abs(t.y - e.y)) AS n, (t.x - e.x) * (t.x - e.x) + (t.y - e.y) * (t.y - e.y) AS d2
+  FROM deg e JOIN fx_lines t ON e.deg = 1 AND t.tile_id = e.tile_id AND t.x BETWEEN e.x - 3 AND e.x + 3 AND t.y BETWEEN e.y - 3 AND e.y + 3)
+  WHERE n > 1 AND d2 <= 9 QUALIFY row_number() OVER (PARTITION BY tile_id, y0, x0 ORDER BY d2, y1, x1) = 1),
+net AS MATERIALIZED (SELECT tile_id, y, x FROM fx_lines UNION SELECT tile_id, CAST(y0 + sign(y1 - y0) * floor((2 * abs(y1 - y0) * i + n) / (2 * n)) AS INT),
+  CAST(x0 + sign(x1 - x0) * floor((2 * abs(x1 - x0) * i + n) / (2 * n)) AS INT) FROM prs, LATERAL (SELECT unnest(range(0, n + 1)) AS i))"""
+
+
+def _rule(n: str, ends: str, through: str, many: str, label: str) -> str:
+    dead = f"len(list_filter(coalesce({ends}, []), lambda v: v >= {n}))"
+    return f"CASE WHEN {many} >= 2 AND {label} = 'Y' AND {dead} = 1 AND {through} >= 2 THEN 'T' WHEN {many} >= 2 AND {label} = 'T' AND {dead} = 0 AND {through} >= 3 THEN 'Y' ELSE {label} END"
+
+
+@query("context_correction_lines", f"{LINES}, {LDEG}, {TYS}, {BRIDGED}, {_net_sql('net', 'n')} SELECT d.tile_id, d.id, {_rule('15', 'b.ends', 'b.through', 'b.nb', 'd.label')} AS label FROM dets d LEFT JOIN nbr b USING (tile_id, id)")
+def context_correction_lines(spark, sf):
+    return T.context_correction(_guesses(spark, sf), _lines(spark, sf)).select("tile_id", "id", "label")
+
+
+@query("context_bridge_sweep", f"""{LINES}, {LDEG}, {TYS}, {BRIDGED}, {_net_sql('net', 'n')}, {_net_sql('fx_lines', 'o')},
+rows_ AS (SELECT CASE WHEN d.kind <> 3 THEN d.planted END AS true_label, d.label AS pred_label, n.ends AS e1, n.through AS t1, n.nb AS n1, o.ends AS e0, o.through AS t0, o.nb AS n0
+  FROM dets d LEFT JOIN nbr n USING (tile_id, id) LEFT JOIN obr o USING (tile_id, id)), """
+       + _grid_sql(", ".join(f"({n}, {int(b)})" for n, b in W.CONTEXT_GRID), "min_dead_end, bridge",
+                   f"CASE WHEN bridge = 1 THEN {_rule('min_dead_end', 'e1', 't1', 'n1', 'pred_label')} ELSE {_rule('min_dead_end', 'e0', 't0', 'n0', 'pred_label')} END", "rows_"))
+def context_bridge_sweep(spark, sf):
+    """All 12 cells over one walk on the net as it is and one on the net with its gaps bridged."""
+    px = _lines(spark, sf)
+    rows = _truth(spark, sf)
+    for name, net in (("on", cut(T.bridge_gaps(px, 3))), ("off", px)):
+        ends = T.branch_ends(net, _snapped(spark, sf, net, ["T", "Y"]))
+        rows = rows.join(ends.withColumnsRenamed({c: f"{c}_{name}" for c in ("ends", "through", "n_branches")}), ["tile_id", "id"], "left")
+    out = W.context_bridge_sweep(cut(rows))
+    return _round_f1(out.withColumns({"min_dead_end": F.col("min_dead_end").cast("double"), "bridge": F.col("bridge").cast("int").cast("double")}))
+
+
+# ---------------------------------------------------------------- a rule tree on the features of the circles
+
+FRULES = A.Rules(inner=10, min_span=1.0, t_min_largest=140.0, t_max_side=148.0, margin=20.0)
+#: A small tree over the columns of ``radius_features``; real ones come as model files of the same layout.
+FEATURE_TREE = {"feature_names": ["arm_count_29", "err_t_29", "err_y_45"], "children_left": [1, -1, 3, -1, 5, -1, -1], "children_right": [2, -1, 4, -1, 6, -1, -1],
+                "feature": [0, -2, 1, -2, 2, -2, -2], "threshold": [2.5, 0, 60.0, 0, 80.0, 0, 0], "decision": [None, "Y", None, "T", None, "Y", "T"]}
+
+
+@query("feature_rule_relabel", guess_sql((29, 45), "true", FRULES) + """, f AS (SELECT tile_id, id, max(arms) FILTER (WHERE outer_ = 29) AS n29, max(err_t) FILTER (WHERE outer_ = 29) AS t29,
+  max(err_y) FILTER (WHERE outer_ = 45) AS y45 FROM g GROUP BY 1, 2)
+SELECT d.tile_id, d.id, CASE WHEN d.label NOT IN ('T', 'Y') OR n29 IS NULL THEN d.label WHEN n29 <= 2.5 THEN 'Y' WHEN t29 IS NULL THEN d.label WHEN t29 <= 60 THEN 'T' WHEN y45 IS NULL THEN d.label
+  WHEN y45 <= 80 THEN 'Y' ELSE 'T' END AS label FROM dets d LEFT JOIN f USING (tile_id, id)""")
+def feature_rule_relabel(spark, sf):
+    """Features read at three radii, then the tree: one plan."""
+    from lineweave.operators import fusion
+
+    rich = fusion.radius_features(_guesses(spark, sf), _lines(spark, sf))
+    return fusion.tree_rule(rich, FEATURE_TREE).select("tile_id", "id", "label")

@@ -81,6 +81,14 @@ def radius_clusters(spark, sf):
     return S.radius_clusters(p, 20.0, ["scene_id"]).select("scene_id", "id", "cluster_id")
 
 
+@query("cluster_numbers", with_fx("fx_detections", recursive=True) + ", " + clusters_sql("fx_detections", "<= 400") + """
+SELECT d.scene_id, d.id, dense_rank() OVER (PARTITION BY d.scene_id ORDER BY cl.cluster_id) - 1 AS cluster_number FROM fx_detections d JOIN cl USING (id)""")
+def cluster_numbers(spark, sf):
+    """Running number of each group in its scene."""
+    p = derived(spark, sf, "fx_detections").select("scene_id", "id", "x", "y")
+    return S.cluster_numbers(S.radius_clusters(p, 20.0, ["scene_id"]), ["scene_id"]).select("scene_id", "id", "cluster_number")
+
+
 MATCH_SQL = f"""cand AS (
   SELECT a.scene_id, a.gt_id, b.id AS pred_id, {D2} AS d2
   FROM fx_truth a JOIN fx_detections b ON a.scene_id = b.scene_id AND {D2} <= 225),
