@@ -1,39 +1,35 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text.
 
-Two zstandard dictionaries are made from training text. The ordinary one is trained on windows of ordinary documents. The
-toxic one has the same content and, before it, text that sets toxic documents apart. So what both know costs the same in
-both, and the difference of the compressed lengths of a window measures toxic text alone. Ordinary windows that still gain
-from the toxic text go into both dictionaries, round by round. A document's largest differences are calibrated on other
-training documents to a probability, on which the threshold is set."""
+Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones, and both stand
+before the same base, which is trained on ordinary windows; so what everybody writes costs the same in both, and the
+difference of the compressed lengths of a window measures what its class alone writes. Most windows of a toxic document
+are ordinary. Training therefore goes in rounds: the toxic dictionary learns from the windows of toxic documents that gain
+more than nearly all ordinary ones, the ordinary dictionary from the ordinary windows that gain most wrongly. A
+document's differences are calibrated on other training documents to a probability, on which the threshold is set."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineweave.llm.lang_id import held_out
 from lineweave.llm.registry import query, table
 
-#: Bounds of the training sample: documents of a class for the dictionaries, windows of each, documents to calibrate on.
+#: Bounds of the training sample, in the mean: documents of a class for the dictionaries, windows of each, documents of a class to calibrate on.
 DICTIONARY_DOCS = 2_000
-DICTIONARY_WINDOWS = 100
-CALIBRATION_DOCS = 6_000
-WINDOW_BYTES = 64
-ORDINARY_BYTES, TELLING_BYTES, HARD_BYTES = 65_536, 4_096, 16_384
-ROUNDS = 4
-#: A word sets toxic documents apart from this z-score and number of documents on.
-TELLING_Z, TELLING_DOCS = 3.5, 8
+DICTIONARY_WINDOWS = 160
+CALIBRATION_DOCS = 3_000
+WINDOW_BYTES = 40
+BASE_BYTES, OWN_BYTES = 65_536, 2_048
+ROUNDS = 5
+#: First windows to learn from: those the base knows least. Then the toxic windows above all but this share of the ordinary ones.
+UNKNOWN, ABOVE = 0.3, 0.005
 THRESHOLD = 0.3
-FEATURES = 6
-
-_WORD = re.compile(rb"[^\s.,;:!?\"()|]{3,}")
+FEATURES = 9
 
 
 def windows(text: str) -> list[bytes]:
@@ -82,10 +78,11 @@ class Distance:
         return np.array([len(a(p)) - len(b(p)) for p in pieces], np.int64)
 
     def features(self, text: str | None) -> list[float]:
-        """The three largest differences, how many are 2 and 4 or more, and the number of windows (the last three as logs)."""
+        """The four largest differences, the mean, and how many are 2 or more, 4 or more, in all, and -4 or less (these four as logs)."""
         d = np.sort(self.saved(windows(text or "")))[::-1]
-        top = [float(x) for x in d[:3]] + [0.0] * (3 - min(3, len(d)))
-        return [*top, *(float(np.log1p(n)) for n in ((d >= 2).sum(), (d >= 4).sum(), len(d)))]
+        top = [float(x) for x in d[:4]] + [0.0] * (4 - min(4, len(d)))
+        counts = ((d >= 2).sum(), (d >= 4).sum(), len(d), (d <= -4).sum())
+        return [*top, float(d.mean()) if len(d) else 0.0, *(float(np.log1p(n)) for n in counts)]
 
 
 class ToxicityModel:
@@ -104,19 +101,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
-    """Words that far more toxic documents hold than ordinary ones; the clearest come last, where they are cheapest."""
-    holds = [Counter(w for doc in side for w in {m for p in doc for m in _WORD.findall(p)}) for side in (toxic, ordinary)]
-    n, m = len(toxic), len(ordinary)
-    scored = []
-    for word, c in holds[0].items():
-        p = (c + holds[1][word]) / (n + m)
-        z = (c / n - holds[1][word] / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-        if z >= TELLING_Z and c >= min(TELLING_DOCS, max(2, n // 20)):
-            scored.append((z, word))
-    return (b" ".join(w for _, w in sorted(scored)) + b" ")[-TELLING_BYTES:]
-
-
 def _trained(pieces: list[bytes], size: int) -> bytes:
     import zstandard as zstd
 
@@ -128,16 +112,25 @@ def _trained(pieces: list[bytes], size: int) -> bytes:
 
 def make_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """``(ordinary, toxic)`` dictionary contents from the windows of training documents."""
-    plain = [p for doc in ordinary for p in doc]
-    base, telling = _trained(plain, ORDINARY_BYTES), _telling(toxic, ordinary)
-    hard = b""
+    bad, plain = ([p for doc in side for p in doc] for side in (toxic, ordinary))
+    base = _trained(plain, BASE_BYTES)
+    known = Distance._compressor(base)
+
+    def unknown(pieces: list[bytes]) -> list[bytes]:
+        cost = np.array([len(known(p)) / max(1, len(p)) for p in pieces])
+        return [pieces[i] for i in np.argsort(-cost, kind="stable")[: max(20, int(UNKNOWN * len(pieces)))]]
+
+    from_bad, from_plain = unknown(bad), unknown(plain)
+    contents = base, base
     for _ in range(ROUNDS):
-        saved = Distance(hard + base, telling + hard + base).saved(plain)
-        worst = list(dict.fromkeys(plain[i] for i in np.argsort(saved, kind="stable") if saved[i] >= 2))
-        if not worst:
-            break
-        hard += b" ".join(worst)[-HARD_BYTES:] + b" "
-    return hard + base, telling + hard + base
+        contents = _trained(from_plain, OWN_BYTES) + base, _trained(from_bad, OWN_BYTES) + base
+        distance = Distance(*contents)
+        gain, wrong = distance.saved(bad), distance.saved(plain)
+        clear = [bad[i] for i in np.flatnonzero(gain > np.quantile(wrong, 1 - ABOVE))]
+        from_bad = clear or from_bad
+        worst = [plain[i] for i in np.argsort(-wrong, kind="stable")[: max(20, len(plain) // 10)]]
+        from_plain = list(dict.fromkeys(from_plain + worst))
+    return contents
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +150,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on labelled documents that are not held out.
 
-    Half of them, by a hash, are for the dictionaries and half for calibration, each within the bounds above, chosen by
-    least hash. A doc_id with several labels counts as toxic if one says so. What reaches the driver is bounded: windows of
-    the first half, six numbers for each document of the second."""
+    Half of them, by a hash, are for the dictionaries and half for calibration. Of each class a share is kept, by another hash,
+    so that the bounds above hold in the mean; the calibration takes the shares back out of its constant. A doc_id with several labels counts
+    as toxic if one says so. What reaches the driver is bounded: windows of the first half, a few numbers for each document
+    of the second."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    h = F.xxhash64("doc_id")
-    known = known.withColumn("h", h).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
-    first = known.where("half = 0").withColumn("n", F.row_number().over(W.partitionBy("toxic").orderBy("h"))).where(F.col("n") <= DICTIONARY_DOCS)
-    second = known.where("half = 1").orderBy("h").limit(CALIBRATION_DOCS)
+    known = known.withColumns({"h": F.xxhash64("doc_id"), "half": F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)), "draw": F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 20)) / float(1 << 20)})
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in known.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {(half, k): min(1.0, most / max(1, sizes.get((half, k), 0))) for half, most in ((0, DICTIONARY_DOCS), (1, CALIBRATION_DOCS)) for k in (0, 1)}
+
+    def drawn(half: int) -> DataFrame:
+        share = F.when(F.col("toxic") == 1, shares[half, 1]).otherwise(shares[half, 0])
+        return known.where((F.col("half") == half) & (F.col("draw") < share))
+
+    first, second = drawn(0), drawn(1)
     text = docs.where("text is not null").select("doc_id", "text")
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     x, y = np.array([r["features"] for r in got], float).reshape(-1, FEATURES), np.array([r["toxic"] for r in got], float)
     if 0 < y.sum() < len(y):
         model.weights, model.mean, model.scale = fit_logistic(x, y)
+        model.weights[-1] -= np.log(shares[1, 1] / shares[1, 0])
     else:
         model.constant = float(y.mean()) if len(y) else 0.0
     return model
