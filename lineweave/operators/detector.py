@@ -390,7 +390,7 @@ def _tier_detect(px: DataFrame, ratios: DataFrame, cfg: Detector, tier: Tier, ba
         detail = graph.withColumn("id", F.xxhash64("source_kind", "id")).select(key, "id", *[c for c in (*GRAPH, "area") if c not in ("label", "score")])
         found = settled.join(detail, [key, "id"], "left")
     else:
-        found = fusion.fuse_simple(graph, _full(template, key), float(tier.nms), key)
+        found = fusion.fuse_simple(_full(graph, key), _full(template, key), float(tier.nms), key).drop("cluster_size", "cluster_source_kinds")
     found = _full(found, key)
     if cfg.t_to_y or cfg.y_to_t:
         seen = A.local_recheck(found.withColumnRenamed("local_ambiguous", "_sure"), px, cfg.t_to_y, cfg.y_to_t, rules, key)
