@@ -30,6 +30,7 @@ ROUNDS = 5
 UNKNOWN, ABOVE = 0.3, 0.005
 THRESHOLD = 0.3
 FEATURES = 9
+WINDOWS_AT = 7  # place of the number of windows among them
 
 
 def windows(text: str) -> list[bytes]:
@@ -216,7 +217,7 @@ def _measured(docs: DataFrame, model: ToxicityModel, keep: Sequence[str]) -> Dat
 def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns plus ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on), one row for each row.
 
-    Null and empty texts have no window and get the score of a text without any difference."""
+    Null and empty texts have no window to judge by and score 0 (the plain share of toxic labels without a model)."""
     measured = _measured(docs, model, keep)
     if model.weights is None:
         value = F.lit(float(model.constant))
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str]) -> DataFra
         for k in range(FEATURES):
             z = z + F.col("features")[k] * F.lit(float(w[k]))
         value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+        value = F.when(F.col("features")[WINDOWS_AT] == 0, 0.0).otherwise(value)
     return measured.withColumn("score", value).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("features")
 
 
