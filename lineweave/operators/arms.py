@@ -15,7 +15,8 @@ from lineweave.functions import scalars as X
 from lineweave.operators import components as C
 from lineweave.operators import pixels as P
 from lineweave.operators import rings as R
-from lineweave.operators.paths import _by_place, by_block
+from lineweave.operators.blocks import by_block
+from lineweave.operators.paths import _by_place
 from lineweave.operators.spatial import box_join, cluster_nms, nms
 from lineweave.session import cut
 

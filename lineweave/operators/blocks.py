@@ -1,0 +1,59 @@
+"""Square blocks of pixels with a halo, so that a task sees all that its points can reach.
+
+A block is bounded whatever the image size, and each point belongs to exactly one block. A pixel is sent to the few blocks
+it is in reach of, however many points look at it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 256
+
+
+def _block_of(c: Column, side: int) -> Column:
+    return F.floor(c / F.lit(side))
+
+
+def block_side(halo: int) -> int:
+    """Side of the square blocks that go with a halo; heads, cuts and halos must all use this one number."""
+    return max(BLOCK, 2 * halo)
+
+
+def block_heads(blocks: DataFrame, side: int, key: str = "tile_id") -> DataFrame:
+    """One point for each block of ``(key, _y, _x)`` numbers: its upper left corner."""
+    corner = [(F.col(f"_{c}") * side).cast("int").alias(c) for c in "xy"]
+    return blocks.select(key, F.lit(0).cast("bigint").alias("id"), *corner)
+
+
+def by_block(px: DataFrame, points: DataFrame, halo: int, fn: Callable, columns: str, key: str = "tile_id") -> DataFrame:
+    """Run ``fn(stack, oy, ox, points)`` on each block that holds points.
+
+    ``points`` has ``(key, id, x, y, ...)`` with integer places. ``stack`` is the dense block of one window with a dark
+    rim; ``oy, ox`` is the place of its element (0, 0)."""
+    side = block_side(halo)
+    wide = (
+        px.select(key, "y", "x")
+        .withColumn("_by", F.explode(F.sequence(_block_of(F.col("y") - halo, side), _block_of(F.col("y") + halo, side))))
+        .withColumn("_bx", F.explode(F.sequence(_block_of(F.col("x") - halo, side), _block_of(F.col("x") + halo, side))))
+    )
+    owned = points.withColumn("_by", _block_of(F.col("y"), side)).withColumn("_bx", _block_of(F.col("x"), side))
+    owned = owned.select(*[F.col(c).alias(f"pt_{c}") for c in owned.columns])      # the two sides may share their lineage
+    kind = px.schema[key].dataType.simpleString()
+
+    def run(lit: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
+        if not len(pts):
+            return pd.DataFrame()
+        pts = pts.rename(columns=lambda c: c[3:])
+        oy, ox = int(pts["_by"].iloc[0]) * side - halo - 1, int(pts["_bx"].iloc[0]) * side - halo - 1
+        stack = np.zeros((1, side + 2 * halo + 2, side + 2 * halo + 2), dtype=np.uint8)
+        stack[0, lit["y"].to_numpy() - oy, lit["x"].to_numpy() - ox] = 1
+        out = fn(stack, oy, ox, pts)
+        out.insert(0, key, pts[key].iloc[0])
+        return out
+
+    return wide.groupBy(key, "_by", "_bx").cogroup(owned.groupBy(f"pt_{key}", "pt__by", "pt__bx")).applyInPandas(run, f"{key} {kind}, {columns}")

@@ -1,17 +1,20 @@
 """What a point sees on circles around it: crossings, arms and their angles.
 
-A circle is sampled at n = max(floor, 4*pi*r) steps. Only lit samples are ever produced: each pixel near the circle
-works out which of the few samples around its own angle round to it. One range join serves all radii."""
+A circle is sampled at n = max(floor, 4*pi*r) steps. Places are folded and read from dense blocks of pixels, so a pixel is
+sent to the blocks around it once, not to every point in reach; only the numbers of lit samples leave a block."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions import scalars as X
+from lineweave.operators.blocks import by_block
 from lineweave.operators.spatial import radius_join
 
 ARM_FLOOR, CROSSING_FLOOR = 64, 32      # fixed values: least sample counts
@@ -23,31 +26,27 @@ def samples(r: int, floor: int) -> int:
 
 def lit_samples(px: DataFrame, points: DataFrame, radii: Sequence[int], floor: int = ARM_FLOOR, key: str = "tile_id") -> DataFrame:
     """``(key, id, radius, lit)`` with the sorted lit sample numbers of every point and radius, empty arrays included."""
-    near = radius_join(px.select(key, "x", "y"), points.select(key, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")),
-                       max(radii) + 1.0, [key])
-    hits = [_lit_by_pixel(r, samples(r, floor)) for r in sorted(set(radii))]
-    found = (
-        near.withColumn("_h", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-        .groupBy(key, F.col("id_b").alias("id"), F.col("_h.radius").alias("radius"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h.lit")))).alias("lit"))
-    )
-    every = points.select(key, "id", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])).alias("radius"))
-    return every.join(found, [key, "id", "radius"], "left").withColumn("lit", F.coalesce("lit", F.array().cast("array<int>")))
-
-
-def _lit_by_pixel(r: int, n: int) -> Column:
-    """``struct(radius, lit)``: the samples of the circle of radius r that round to this pixel; NULL off the circle."""
-    reach = math.ceil(n / (2 * math.pi) * 0.75 / r) + 1
-    turn = F.atan2(F.col("y_a") - F.col("y_b"), F.col("x_a") - F.col("x_b")) * (n / (2 * math.pi))
-    middle = F.bround(turn).cast("int")
-
-    def rounds_here(i: Column) -> Column:
-        a = F.pmod(i, F.lit(n)) * F.lit(2 * math.pi / n)
-        return (F.bround(F.col("y_b") + F.lit(float(r)) * F.sin(a)) == F.col("y_a")) & (
-            F.bround(F.col("x_b") + F.lit(float(r)) * F.cos(a)) == F.col("x_a"))
-
-    lit = F.transform(F.filter(F.sequence(middle - reach, middle + reach), rounds_here), lambda i: F.pmod(i, F.lit(n)))
-    return F.when(F.abs(F.sqrt("d2") - r) <= 1.0, F.struct(F.lit(r).alias("radius"), lit.alias("lit")))
+    circles = []
+    for r in sorted(set(radii)):
+        n = samples(r, floor)
+        turn = [i * (2 * math.pi / n) for i in range(n)]
+        circles.append((r, np.array([r * math.sin(a) for a in turn]), np.array([r * math.cos(a) for a in turn])))
+
+    def run(stack, oy, ox, pts):
+        parts = []
+        for lo in range(0, len(pts), 2000):
+            y, x = (pts[c].to_numpy(float)[lo:lo + 2000] for c in ("y", "x"))
+            for r, dy, dx in circles:
+                on = stack[0, np.rint(y[:, None] + dy).astype(int) - oy, np.rint(x[:, None] + dx).astype(int) - ox] > 0
+                rows, at = np.nonzero(on)
+                lit = np.split(at.astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(y)))[:-1])
+                parts.append(pd.DataFrame({"_y": y, "_x": x, "radius": np.int32(r), "lit": [v.tolist() for v in lit]}))
+        return pd.concat(parts, ignore_index=True)
+
+    at = points.select(key, "id", F.col("y").cast("double").alias("_y"), F.col("x").cast("double").alias("_x"))
+    places = at.select(key, F.col("_y").alias("y"), F.col("_x").alias("x")).distinct()
+    read = by_block(px, places, max(radii) + 1, run, "_y double, _x double, radius int, lit array<int>", key)
+    return at.join(read, [key, "_y", "_x"]).select(key, "id", "radius", "lit")
 
 
 def _count_at(radii: Sequence[int], floor: int) -> Column:
