@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions import scalars as X
-from lineweave.operators.blocks import by_block
 from lineweave.operators.spatial import radius_join
 
 ARM_FLOOR, CROSSING_FLOOR = 64, 32      # fixed values: least sample counts
@@ -26,6 +25,8 @@ def samples(r: int, floor: int) -> int:
 
 def lit_samples(px: DataFrame, points: DataFrame, radii: Sequence[int], floor: int = ARM_FLOOR, key: str = "tile_id") -> DataFrame:
     """``(key, id, radius, lit)`` with the sorted lit sample numbers of every point and radius, empty arrays included."""
+    from lineweave.operators.paths import by_block      # walks read circles too
+
     circles = []
     for r in sorted(set(radii)):
         n = samples(r, floor)
