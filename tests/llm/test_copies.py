@@ -12,26 +12,39 @@ from lineweave.llm.ngram_join import choose_bands, ngram_classes
 from tests.llm.tables import documents, prose
 
 
+def n_words(line):
+    return len(re.findall("[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0eff]|[^ \t\r\f\v\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0eff]+", line))
+
+
 def brute_lines(rows, min_words):
-    """Every later copy of every run, by looking at all pairs of places."""
+    """Every later copy of every run, by looking at all pairs of places; blank lines are passed over."""
     docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda d: d[0])
-    lines = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n"))]
+    lines = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if n_words(x)]
     gone = set()
     for j in range(len(lines)):
         for i in range(j):
             n = words = 0
-            while j + n < len(lines) and lines[i + n][2] == lines[j + n][2] and lines[i + n][2].split() and lines[i][0] == lines[i + n][0] and lines[j][0] == lines[j + n][0]:
-                words += len(lines[j + n][2].split())
+            while j + n < len(lines) and lines[i + n][2] == lines[j + n][2] and lines[i][0] == lines[i + n][0] and lines[j][0] == lines[j + n][0]:
+                words += n_words(lines[j + n][2])
                 n += 1
             if words >= min_words:
                 gone |= {(lines[j + m][0], lines[j + m][1]) for m in range(n)}
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in docs}
 
 
+def test_double_spaced_verse_and_unspaced_scripts(spark):
+    verse = "the cat sat\n\non mats\n \nby day\n\n\nand slept"
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\n\u6211\u4eec\u53bb\u516c\u56ed"
+    rows = [(1, f"one\n{verse}", "en", "s", 0), (2, f"two\n{verse}\nthree", "en", "s", 0), (3, chinese, "zh", "s", 0), (4, f"{chinese}\n\u5f88\u597d", "zh", "s", 0), (5, "on mats\n\nby", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in drop_lines(documents(spark, rows), later_copies(documents(spark, rows))).collect()}
+    assert got == brute_lines(rows, 5)
+    assert got[2].split() == ["two", "three"] and got[4] == "\u5f88\u597d" and got[5] == rows[4][1]
+
+
 @pytest.mark.parametrize("min_words", [1, 3, 5, 9])
 def test_line_runs(spark, min_words):
     rng = random.Random(min_words)
-    pool = ["a b", "c", "d e f", "", "g h i j k l", "m"]
+    pool = ["a b", "c", "d e f", "", "g h i j k l", "m", " ", "\u4eca\u5929", "\u6211a \u3042"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))), "en", "s", 0) for i in range(25)]
     docs = documents(spark, [*rows, rows[3], (90, None, "en", "s", 0)])
     got = drop_lines(docs, later_copies(docs, min_words)).collect()
