@@ -17,12 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineweave.llm.registry import query, table
+from lineweave.llm.words import UNSPACED, char_class
 from lineweave.operators.ranks import running_total
 from lineweave.session import cut
 
 #: Thai, Lao, Burmese, Khmer, Japanese and Chinese are written without spaces: there every character counts as a word.
-UNSPACED = "\\x{E00}-\\x{EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}"
-WORD = f"[{UNSPACED}]|[^ \\t\\r\\f\\x0B{UNSPACED}]+"
+_ALONE = char_class(UNSPACED)
+WORD = f"[{_ALONE}]|[^ \\t\\r\\f\\x0B{_ALONE}]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:

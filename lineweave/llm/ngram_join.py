@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import candidates
 from lineweave.llm.registry import query, table
-from lineweave.llm.words import gram_hashes, mix, rows_at_once, slices
+from lineweave.llm.words import PUNCTUATION, UNSPACED, char_class, gram_hashes, mix, rows_at_once, slices
 from lineweave.operators.graph import components
 from lineweave.session import cut
 
@@ -129,7 +129,7 @@ def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recal
     """One row per document -> ``(doc_id, th, class_id, n_links, kept)``.
 
     Two documents are linked when the Jaccard similarity of their sets of ``words``-word n-grams (lower case, parted
-    by white space and ASCII punctuation) is at least ``threshold``. ``n_links`` counts the other documents linked to it, copies included;
+    by white space and punctuation; in scripts written without spaces each character is a word) is at least ``threshold``. ``n_links`` counts the other documents linked to it, copies included;
     ``class_id`` is the least doc_id reachable by links. A text of fewer than ``words`` words has one gram of all its
     words. Texts without a word have no gram and are linked when they are equal but for white space around them; null, empty
     and blank ones are one class. Each input row counts as a
@@ -161,9 +161,10 @@ def ngram_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recal
     return flat.select("doc_id", "th", "item").join(verdict, "item").select("doc_id", "th", F.col("first.doc_id").alias("class_id"), "n_links", kept.alias("kept"))
 
 
-SQL = """
+SQL = (
+    """
 WITH RECURSIVE toks AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w, text FROM documents
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[%s]|[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f%s]+') AS w, text FROM documents
 ), grams AS (
   SELECT doc_id, text, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM toks
@@ -188,6 +189,8 @@ WITH RECURSIVE toks AS (
 SELECT d.doc_id, m.root AS class_id, CAST(coalesce(l.n, 0) + c.copies - 1 AS BIGINT) AS n_links
 FROM keyed d JOIN classes c ON c.k = d.k JOIN comp m ON m.node = c.rep LEFT JOIN links l ON l.rep = c.rep
 """
+    % (char_class(UNSPACED), char_class(UNSPACED + PUNCTUATION))
+)
 
 
 @query("op6_ngram_jaccard", SQL)

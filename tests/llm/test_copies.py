@@ -54,10 +54,13 @@ def test_line_runs(spark, min_words):
     assert all(r["th"] == "th" and r["n_lines"] == (0 if r["text"] is None else len(dict((x[0], x[1]) for x in rows)[r["doc_id"]].split("\n"))) for r in got)
 
 
+ALONE = "\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0eff"
+
+
 def brute_classes(rows, words=5, threshold=0.8):
     grams = []
     for r in rows:
-        w = re.findall("[a-z0-9\x80-\U0010ffff]+", (r[1] or "").lower())
+        w = re.findall(f"[{ALONE}]|[a-z0-9\x80-\U0010ffff]+", re.sub("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3003]", " ", re.sub(f"([{ALONE}])", r" \1 ", (r[1] or "").lower())))
         grams.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else {(r[1] or "").strip()})
     n = len(rows)
     link = [[j for j in range(n) if j != i and (grams[i] == grams[j] or len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= threshold)] for i in range(n)]
@@ -85,6 +88,19 @@ def test_ngram_classes(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_ngrams_beyond_ascii(spark):
+    """Texts of scripts without spaces that differ in one character, and re-quoted ones, are linked."""
+    rng = random.Random(21)
+    han = [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)]
+    text = prose(40, rng)
+    quoted = text.replace(" ", "\u201d ", 1).replace(" ", "\u00a0\u201c", 2)
+    texts = ["".join(han), "".join(han[:150] + ["\u3042"] + han[151:]), "\u3002".join(["".join(han[:100]), "".join(han[100:])]), "".join(han[::-1]), text, "\u00ab" + quoted + "\u00bb\u2026", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35 abc\u4e00d\u00e9 \U00020001"]
+    rows = [(i, t, "zh", "s", 0) for i, t in enumerate(texts)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_classes(documents(spark, rows)).collect())
+    assert got == brute_classes(rows)
+    assert [c for _, c, _ in got] == [0, 0, 0, 3, 4, 4, 6]
+
+
 def test_many_near_copies_are_split(spark, monkeypatch):
     """A bucket larger than a block: every link is counted, whatever the blocks."""
     from lineweave.llm import candidates
