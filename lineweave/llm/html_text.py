@@ -2,8 +2,10 @@
 
 Each paragraph has points for its length and its commas; its parent gets them all, the ancestors above ever smaller shares.
 A container's score is discounted by its link density. The best container is kept, with those siblings that score well
-beside it; an article or main element around it, or the best one inside it, stands for it. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out by element, role and class."""
+beside it; an article or main element around it, or the best one inside it, stands for it. Menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments are left out by element, role and class. A class or id,
+a form or a hidden block only counts against what it holds: paragraphs in it weigh a fifth, or a fiftieth where a name
+starts with such a word, and if the best container still lies in it, the element stays."""
 
 from __future__ import annotations
 
@@ -23,10 +25,15 @@ _TAG = re.compile(
 )
 _HINT = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LEADING = re.compile(r"(?:^|\s)([a-z]+)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea select title xmp".split())
-_DROP = frozenset("nav footer aside form button dialog menu head svg canvas object audio video map".split())
+_DROP = frozenset("nav footer aside menu head svg canvas object audio video map".split())
+_DOUBTED = frozenset("form button dialog".split())
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_UNSHOWN = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -40,40 +47,49 @@ _NAMES = frozenset(
 #: Points: one for a paragraph, one for each comma, one for every so many characters up to a limit; how far they go up.
 LENGTH_STEP, LENGTH_POINTS, LEVELS = 100, 3, 5
 SIBLING_SHARE = 0.2
+#: What a paragraph weighs in an element that may be left out, or most likely is.
+DOUBT, STRONG_DOUBT = 0.2, 0.02
 PAGES_AT_ONCE = 200
 
 
 class _Tree:
     def __init__(self) -> None:
-        self.name, self.parent, self.dropped = ["#page"], [-1], [False]
+        self.name, self.parent, self.dropped, self.weight = ["#page"], [-1], [False], [1.0]
         self.own, self.commas = [0], [0]
         self.linked = [0]
         self.pieces: list[tuple[int, str]] = []
 
-    def add(self, name: str, parent: int, dropped: bool) -> int:
+    def add(self, name: str, parent: int, dropped: bool, weight: float) -> int:
         self.name.append(name)
         self.parent.append(parent)
         self.dropped.append(dropped or self.dropped[parent])
+        self.weight.append(weight)
         self.own.append(0)
         self.commas.append(0)
         self.linked.append(0)
         return len(self.name) - 1
 
 
-def _unwanted(name: str, rest: str, inside_article: bool) -> bool:
+def _unwanted(name: str, rest: str, inside_article: bool) -> tuple[bool, float]:
+    """Is the element left out for sure, and what do paragraphs in it weigh?"""
     if name in _DROP or (name == "header" and not inside_article):
-        return True
-    if name in _WHOLE or not rest or "=" not in rest:
-        return False
-    for kind, *values in _HINT.findall(rest):
+        return True, 1.0
+    weight = DOUBT if name in _DOUBTED else 1.0
+    if name in _WHOLE or not rest:
+        return False, weight
+    for kind, *values in _HINT.findall(rest) if "=" in rest else ():
         value = "".join(values).lower()
-        words = _WORD.findall(value)
         if kind.lower() == "role":
             if value in _ROLES:
-                return True
-        elif any(w in _NAMES for w in words) or ("header" in words and not inside_article):
-            return True
-    return False
+                return True, 1.0
+            continue
+        for found, worth in ((_WORD, DOUBT), (_LEADING, STRONG_DOUBT)):
+            words = found.findall(value)
+            if any(w in _NAMES for w in words) or ("header" in words and not inside_article):
+                weight = min(weight, worth)
+    if _UNSHOWN.search(rest) or ("hidden" in rest.lower() and _HIDDEN.search(_QUOTED.sub("", rest))):
+        weight = STRONG_DOUBT
+    return False, weight
 
 
 def parse(html: str) -> _Tree:
@@ -142,17 +158,18 @@ def parse(html: str) -> _Tree:
             leave()
         if name == "li" and tree.name[stack[-1]] == "li":
             leave()
-        stack.append(tree.add(name, stack[-1], _unwanted(name, rest, articles > 0)))
+        stack.append(tree.add(name, stack[-1], *_unwanted(name, rest, articles > 0)))
         open_names[name] = open_names.get(name, 0) + 1
         articles += name in ("article", "main")
         link += name == "a"
 
 
-def _roots(tree: _Tree) -> set[int]:
+def _scores(tree: _Tree) -> tuple[list[float], list[int], list[int]]:
+    """``(score, text, linked text)`` of every element, of what is not dropped."""
     n = len(tree.name)
-    text, linked = tree.own[:], tree.linked[:]
     # Text of inline elements belongs to the paragraph around them.
-    size, commas = tree.own[:], tree.commas[:]
+    size, linked, commas = ([0 if d else v for v, d in zip(values, tree.dropped, strict=True)] for values in (tree.own, tree.linked, tree.commas))
+    text = size[:]
     for i in range(n - 1, 0, -1):
         up = tree.parent[i]
         text[up] += text[i]
@@ -160,11 +177,12 @@ def _roots(tree: _Tree) -> set[int]:
         if tree.name[i] not in _BLOCK:
             size[up] += size[i]
             commas[up] += commas[i]
-    points = [0.0] * n
+    points, weight = [0.0] * n, [1.0] * n
     for i in range(1, n):
+        weight[i] = min(tree.weight[i], weight[tree.parent[i]])
         if tree.dropped[i] or not size[i] or tree.name[i] not in _PARAGRAPH:
             continue
-        worth = 1 + commas[i] + min(size[i] / LENGTH_STEP, LENGTH_POINTS)
+        worth = (1 + commas[i] + min(size[i] / LENGTH_STEP, LENGTH_POINTS)) * weight[i]
         # A container with text of its own is a paragraph of itself.
         up, share = (tree.parent[i], 1.0) if tree.name[i] in ("p", "pre", "li", "dd", "td", "blockquote") else (i, 1.0)
         for level in range(1, LEVELS + 1):
@@ -172,7 +190,30 @@ def _roots(tree: _Tree) -> set[int]:
                 break
             points[up] += worth * share
             up, share = tree.parent[up], 0.5 if level == 1 else 1 / (3 * level)
-    score = [p * (1 - linked[i] / text[i]) if text[i] else 0.0 for i, p in enumerate(points)]
+    return [p * (1 - linked[i] / text[i]) if text[i] else 0.0 for i, p in enumerate(points)], text, linked
+
+
+def _settle(tree: _Tree) -> None:
+    """Drop every doubtful element that does not hold the best container; after that, none is doubtful."""
+    n = len(tree.name)
+    if min(tree.weight) == 1:
+        return
+    score, _, _ = _scores(tree)
+    best = max(range(n), key=lambda i: (score[i], -i))
+    holds = set()
+    up = best if score[best] else -1
+    while up > 0:
+        holds.add(up)
+        up = tree.parent[up]
+    for i in range(1, n):
+        tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parent[i]] or (tree.weight[i] < 1 and i not in holds)
+    tree.weight = [1.0] * n
+
+
+def _roots(tree: _Tree) -> set[int]:
+    n = len(tree.name)
+    _settle(tree)
+    score, text, linked = _scores(tree)
     best = max(range(n), key=lambda i: (score[i], -i))
     if not score[best]:
         return {0}

@@ -210,6 +210,21 @@ def test_text_in_two_articles_of_unequal_length():
     assert got.count("long") == 9 and got.count("short") == 4 and "teaser" not in got
 
 
+def test_names_weigh_and_do_not_delete():
+    story = "<p>First, with commas, and so on, and on.</p><p>Second one, longer, it is.</p>"
+    want = "First, with commas, and so on, and on. Second one, longer, it is."
+    side = "<div class='sidebar'><p>side, side</p></div>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{story}</article>{side}</div>",
+        f"<body><div class='post no-comments'>{story}</div>{side}",
+        f"<body><form id=aspnet><div id=content>{story}</div>{side}<button>Send, now</button></form></body>",
+        f"<body><div class='with-ads'><div class='nav-open'>{story}</div>{side}</div><nav>a, b, c, d, e, f, g, h, i, j, k, l</nav>",
+        f"<body><div>{story}</div><div hidden><p>not, to, see</p></div><div style='color:red; display: none'><p>nor, this</p></div>",
+        f"<body><div aria-hidden='false' class='hidden-xs'>{story}</div><form><p>Your, name</p></form><div id=comments>{'<p>Nice, post, I, think, so</p>' * 40}</div>",
+    ):
+        assert html_text.main_text(page) == want, page
+
+
 def test_page_rows(spark, tmp_path):
     rows = html_text.op9(spark, write_tables(spark, tmp_path)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in rows) == [(0, "a & b a & b a & b", 17), (1, "Hello, world", 12), (1, "Hello, world", 12), (2, "", 0), (3, "", 0), (4, "deep", 4)]
